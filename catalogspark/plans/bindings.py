@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from catalogspark.operators import catalog, enforce, index, screen
@@ -30,6 +34,39 @@ FLOOD = FloodLimits(
 )
 
 
+_KNOWN: dict[tuple, DataFrame] = {}
+
+
+def _once(keep: bool) -> Callable:
+    """Analyse a binding once per application and folder.
+
+    With ``keep`` it is also held in memory and on disk: these are the tables a
+    catalog keeps anyway (files, sources, postings, verdicts, ledger), each much
+    smaller than the offers, and every search or report starts from them.
+    """
+
+    def wrap(fn: Callable) -> Callable:
+        @wraps(fn)
+        def get(spark: SparkSession, sf: str, *args) -> DataFrame:
+            key = (spark.sparkContext.applicationId, sf, fn.__name__, *args)
+            if key not in _KNOWN:
+                made = fn(spark, sf, *args)
+                _KNOWN[key] = made.persist(StorageLevel.MEMORY_AND_DISK) if keep else made
+            return _KNOWN[key]
+
+        return get
+
+    return wrap
+
+
+def release(spark: SparkSession) -> None:
+    """Drop everything held for this application."""
+    app = spark.sparkContext.applicationId
+    for key in [k for k in _KNOWN if k[0] == app]:
+        _KNOWN.pop(key).unpersist()
+
+
+@_once(keep=False)
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -59,6 +96,7 @@ def _parts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@_once(keep=False)
 def offers(spark: SparkSession, sf: str) -> DataFrame:
     """One offer per lineitem: supplier as user, part as file."""
     kind = F.col("l_linenumber") % 5
@@ -121,14 +159,17 @@ SELECT file_hash, count(*) AS sources, count(*) FILTER (WHERE complete) AS compl
 FROM v_sources GROUP BY file_hash""")
 
 
+@_once(keep=True)
 def files(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.files(offers(spark, sf))
 
 
+@_once(keep=True)
 def sources(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.sources(offers(spark, sf))
 
 
+@_once(keep=True)
 def postings(spark: SparkSession, sf: str) -> DataFrame:
     return index.postings(files(spark, sf))
 
@@ -151,6 +192,7 @@ def sql_tokens(text: str) -> str:
 view("v_postings", f"SELECT unnest({sql_tokens('name')}) AS token, file_hash FROM v_files")
 
 
+@_once(keep=False)
 def clients(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers as connected clients."""
     rows = table(spark, sf, "supplier").join(
@@ -181,10 +223,12 @@ SELECT s_suppkey AS client_key, md5(concat('u', s_suppkey)) AS user_hash, 167772
 FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
 
 
+@_once(keep=False)
 def departed(spark: SparkSession, sf: str) -> DataFrame:
     return clients(spark, sf).filter(~F.col("is_high_id")).select("user_hash")
 
 
+@_once(keep=False)
 def ranges(spark: SparkSession, sf: str) -> DataFrame:
     """A range per supplier; every second one is adjacent to the next."""
     start = F.lit(BASE_IP) + F.col("s_suppkey") * 16000
@@ -202,6 +246,7 @@ SELECT 167772160 + s_suppkey * 16000 AS range_start,
 FROM supplier""")
 
 
+@_once(keep=False)
 def events(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(
         "event_id", user_id("user_id").alias("user_hash"), "user_id", "event_type", "value",
@@ -215,6 +260,7 @@ SELECT event_id, md5(concat('u', user_id)) AS user_hash, user_id, event_type, va
   167772160 + user_id * 7919 AS ip FROM events""")
 
 
+@_once(keep=False)
 def queries(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).filter(F.col("event_type").isin("view", "click")).select(
         "ip", "at_us", "event_id", "event_type"
@@ -224,6 +270,7 @@ def queries(spark: SparkSession, sf: str) -> DataFrame:
 view("v_queries", "SELECT ip, at_us, event_id, event_type FROM v_events WHERE event_type IN ('view', 'click')")
 
 
+@_once(keep=False)
 def logins(spark: SparkSession, sf: str) -> DataFrame:
     return events(spark, sf).filter(F.col("event_type") == "signup").select(
         "user_hash", "user_id", "event_id", "ip", "at_us", "value"
@@ -234,6 +281,7 @@ view("v_logins", """
 SELECT user_hash, user_id, event_id, ip, at_us, value FROM v_events WHERE event_type = 'signup'""")
 
 
+@_once(keep=False)
 def policy_hashes(spark: SparkSession, sf: str) -> DataFrame:
     """Lists by part attributes; a part may be on several."""
     parts = table(spark, sf, "part").select(file_id("p_partkey").alias("file_hash"), "p_brand", "p_size")
@@ -300,14 +348,17 @@ SELECT o.*, {_VERDICT} FROM v_files o JOIN v_name_rules r ON o.name = r.name
 LEFT JOIN v_listed l ON o.file_hash = l.file_hash""")
 
 
+@_once(keep=False)
 def screened_offers(spark: SparkSession, sf: str) -> DataFrame:
     return screen.screen(offers(spark, sf), policy(spark, sf))
 
 
+@_once(keep=True)
 def screened_files(spark: SparkSession, sf: str) -> DataFrame:
     return screen.screen(files(spark, sf), policy(spark, sf))
 
 
+@_once(keep=False)
 def withheld(spark: SparkSession, sf: str) -> DataFrame:
     return screened_files(spark, sf).filter(F.col("layer").isNotNull()).select("file_hash")
 
@@ -315,10 +366,12 @@ def withheld(spark: SparkSession, sf: str) -> DataFrame:
 view("v_withheld", "SELECT file_hash FROM v_screened_files WHERE layer IS NOT NULL")
 
 
+@_once(keep=False)
 def catches(spark: SparkSession, sf: str) -> DataFrame:
     return enforce.catches(screened_offers(spark, sf))
 
 
+@_once(keep=True)
 def ledger(spark: SparkSession, sf: str) -> DataFrame:
     return enforce.ledger(catches(spark, sf), retention_seconds=RETENTION)
 

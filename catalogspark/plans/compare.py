@@ -41,9 +41,9 @@ def multiset(columns: list[str], rows) -> tuple[list[str], list[tuple]]:
     return [columns[i] for i in order], sorted(data, key=repr)
 
 
-def differences(spark_df, con, sql: str) -> list[str]:
+def differences(columns: list[str], rows: list, con, sql: str) -> list[str]:
     """Readable differences; empty when results agree."""
-    got_cols, got = multiset(spark_df.columns, [tuple(r) for r in spark_df.toLocalIterator()])
+    got_cols, got = multiset(columns, [tuple(r) for r in rows])
     cursor = con.execute(sql)
     want_cols, want = multiset([d[0] for d in cursor.description], cursor.fetchall())
     out = []
