@@ -134,7 +134,8 @@ def first_matching_term(lowered: Column, terms: list[str]) -> Column:
     return F.when(lowered.rlike(any_of([term_pattern(t) for t in kept])), F.get(hits, F.lit(0))["term"])
 
 
-def _repair_round(name: Column) -> Column:
+def repair_round(name: Column) -> Column:
+    """Undo one round of UTF-8 read as Latin-1; null when that is not the explanation."""
     suspicious = name.rlike(r"[^\x00-\x7F]") & name.rlike(r"\A[\x00-\xFF]*\z")
     decoded = F.when(
         suspicious, F.try_validate_utf8(F.encode(name, "ISO-8859-1").cast("string"))
@@ -144,5 +145,5 @@ def _repair_round(name: Column) -> Column:
 
 def repair_double_encoding(name: Column) -> Column:
     """Undo up to two rounds of UTF-8 read as Latin-1; null when nothing changes."""
-    first = _repair_round(name)
-    return F.coalesce(_repair_round(first), first)
+    first = repair_round(name)
+    return F.coalesce(repair_round(first), first)

@@ -42,19 +42,30 @@ def window_counts(first_catches: DataFrame, *, window_seconds: int) -> DataFrame
     before the window opens, so a publisher with very many files is spread over
     day chunks.
     """
-    at = first_catches.select("user_hash", "epoch", "file_hash", "caught_us", F.col("caught_us").alias("at_us"),
-                              F.lit(1).alias("is_catch"))
-    opens = at.withColumn("at_us", F.col("caught_us") - window_seconds * MICROS - 1).withColumn("is_catch", F.lit(0))
-    line = at.unionByName(opens).withColumn("day", slot(F.col("at_us"), DAY))
-    totals = running(
-        line, keys=["user_hash", "epoch"], chunk="day", order=["at_us"], peers=True,
-        aggs={"total": ("sum", F.col("is_catch"))},
-    )
+    rows = first_catches.select("user_hash", "epoch", "file_hash", "caught_us", F.lit(1).alias("n"))
+    totals = _totals_around(rows, window_seconds)
     return totals.groupBy("user_hash", "epoch", "file_hash", "caught_us").agg(
         (F.max("total") - F.min("total")).alias("in_window")
     )
 
 
+def _totals_around(rows: DataFrame, window_seconds: int) -> DataFrame:
+    """Each row twice, at ``caught_us`` and just before its window opens, with the running total of ``n``."""
+    point = lambda at, n: F.struct(at.alias("at_us"), n.cast("bigint").alias("n"))
+    caught = F.col("caught_us")
+    line = (
+        rows.withColumn(
+            "__p", F.explode(F.array(point(caught, F.col("n")), point(caught - window_seconds * MICROS - 1, F.lit(0))))
+        )
+        .select(*[c for c in rows.columns if c != "n"], "__p.*")
+        .withColumn("day", slot(F.col("at_us"), DAY))
+    )
+    return running(
+        line, keys=["user_hash", "epoch"], chunk="day", order=["at_us"], peers=True,
+        aggs={"total": ("sum", F.col("n"))},
+    )
+
+
 def publisher_bans(first_catches: DataFrame, *, window_seconds: int, threshold: int) -> DataFrame:
     """Users with more than ``threshold`` distinct files in a window: first and last ban instant."""
     over = window_counts(first_catches, window_seconds=window_seconds).filter(F.col("in_window") > threshold)
@@ -81,17 +92,10 @@ def repeat_catch_bans(
         .select("user_hash", F.col("run").alias("epoch"), "caught_us")
     )
     adds = first_catches.groupBy("user_hash", "epoch", "caught_us").agg(F.count("*").alias("n"))
-    at = (
-        marks.join(adds, ["user_hash", "epoch", "caught_us"], "left")
-        .select("user_hash", "epoch", "caught_us", F.col("caught_us").alias("at_us"),
-                F.coalesce("n", F.lit(0)).alias("n"))
-    )
-    opens = at.withColumn("at_us", F.col("caught_us") - window_seconds * MICROS - 1).withColumn("n", F.lit(0).cast("bigint"))
-    line = at.unionByName(opens).withColumn("day", slot(F.col("at_us"), DAY))
-    totals = running(
-        line, keys=["user_hash", "epoch"], chunk="day", order=["at_us"], peers=True,
-        aggs={"total": ("sum", F.col("n"))},
+    rows = marks.join(adds, ["user_hash", "epoch", "caught_us"], "left").select(
+        "user_hash", "epoch", "caught_us", F.coalesce("n", F.lit(0)).alias("n")
     )
+    totals = _totals_around(rows, window_seconds)
     return (
         totals.groupBy("user_hash", "epoch", "caught_us")
         .agg((F.max("total") - F.min("total")).alias("in_window"))

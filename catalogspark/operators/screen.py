@@ -168,34 +168,38 @@ def rule_reason(lowered: Column, rule: Rule | None) -> Column:
     return out
 
 
-def _verdict(layer: str, reason: Column) -> Column:
-    return F.when(reason.isNotNull(), F.struct(F.lit(layer).alias("layer"), reason.alias("reason")))
-
-
-def name_verdict(name: Column, policy: Policy) -> Column:
-    """Verdict struct(layer, reason) of the text layers, or null.
+def with_name_verdict(rows: DataFrame, policy: Policy, *, when: Column | None = None) -> DataFrame:
+    """Add ``verdict``, struct(layer, reason) of the text layers or null, to rows with a name.
 
     A name that turns out to be doubly encoded is tested in its repaired form first.
+    Every step is a column of its own, so no pattern is evaluated twice; rows
+    outside ``when`` carry nulls through all of them.
     """
     terms, extra = list(policy.terms), list(policy.extra_terms)
-    lowered = F.lower(name)
-    repaired = text.repair_double_encoding(name)
-    repaired_lower = F.lower(repaired)
-    mark = lambda reason: F.concat(reason, F.lit(" (mojibake)"))
-    on_repaired = F.when(
-        name.rlike(r"[^\x00-\x7F]"),
-        F.coalesce(
-            _verdict("L1", mark(text.first_matching_term(repaired_lower, terms))),
-            _verdict("L4", mark(text.first_matching_term(repaired_lower, extra))),
-            _verdict("L2", mark(rule_reason(repaired_lower, policy.rule))),
-        ),
+    name = F.col("name") if when is None else F.when(when, F.col("name"))
+    steps = (
+        rows.withColumn("__lower", F.lower(name))
+        .withColumn("__once", text.repair_round(name))
+        .withColumn("__fixed", F.lower(F.coalesce(text.repair_round(F.col("__once")), F.col("__once"))))
     )
-    return F.coalesce(
-        on_repaired,
-        _verdict("L1", text.first_matching_term(lowered, terms)),
-        _verdict("L2", rule_reason(lowered, policy.rule)),
-        _verdict("L4", text.first_matching_term(lowered, extra)),
+    reasons = []
+    for label, source, suffix, layers in (
+        ("fixed", F.col("__fixed"), " (mojibake)", ("L1", "L4", "L2")),
+        ("plain", F.col("__lower"), "", ("L1", "L2", "L4")),
+    ):
+        for layer in layers:
+            reason = {
+                "L1": lambda s: text.first_matching_term(s, terms),
+                "L4": lambda s: text.first_matching_term(s, extra),
+                "L2": lambda s: rule_reason(s, policy.rule),
+            }[layer](source)
+            column = f"__{label}_{layer}"
+            steps = steps.withColumn(column, F.concat(reason, F.lit(suffix)) if suffix else reason)
+            reasons.append((layer, F.col(column)))
+    verdict = F.coalesce(
+        *[F.when(r.isNotNull(), F.struct(F.lit(layer).alias("layer"), r.alias("reason"))) for layer, r in reasons]
     )
+    return steps.select(*rows.columns, verdict.alias("verdict"))
 
 
 def hash_verdicts(hashes: DataFrame) -> DataFrame:
@@ -204,28 +208,53 @@ def hash_verdicts(hashes: DataFrame) -> DataFrame:
     return hashes.groupBy("file_hash").agg(F.min(rank).alias("__listed"))
 
 
-def screen(rows: DataFrame, policy: Policy) -> DataFrame:
-    """Add ``layer`` and ``reason`` (null when allowed) to rows with file_hash and name.
+def _listed(rows: DataFrame, policy: Policy) -> DataFrame:
+    if policy.hashes is None:
+        return rows.withColumn("__listed", F.lit(None).cast("int"))
+    return rows.join(hash_verdicts(policy.hashes), "file_hash", "left")
 
-    The hash lists decide first, by one join; the text layers sit behind them in
-    one conditional, so they are evaluated only for rows still open.
-    """
-    if policy.hashes is not None:
-        listed = rows.join(hash_verdicts(policy.hashes), "file_hash", "left")
-    else:
-        listed = rows.withColumn("__listed", F.lit(None).cast("int"))
+
+def _decide(listed: DataFrame, columns: list[str], by_name: Column) -> DataFrame:
     at = F.col("__listed")
     verdict = (
         F.when(at == 1, F.struct(F.lit("L3").alias("layer"), F.lit("hash").alias("reason")))
         .when(at == 2, F.struct(F.lit("L5").alias("layer"), F.lit("poison").alias("reason")))
-        .when(at.isNull(), name_verdict(F.col("name"), policy))
+        .when(at.isNull(), by_name)
+    )
+    return listed.withColumn("__verdict", verdict).select(
+        *columns, F.col("__verdict.layer").alias("layer"), F.col("__verdict.reason").alias("reason")
     )
+
+
+def screen(rows: DataFrame, policy: Policy) -> DataFrame:
+    """Add ``layer`` and ``reason`` (null when allowed) to rows with file_hash and name.
+
+    The hash lists decide first, by one join; the text layers sit behind them in
+    a condition, so they are evaluated only for rows still open.
+    """
+    judged = with_name_verdict(_listed(rows, policy), policy, when=F.col("__listed").isNull())
+    return _decide(judged, rows.columns, F.col("verdict"))
+
+
+def blocked_names(rows: DataFrame, policy: Policy) -> DataFrame:
+    """Distinct names the text layers object to: (name, verdict). Usually a small part of all names."""
     return (
-        listed.withColumn("__verdict", verdict)
-        .select(*rows.columns, F.col("__verdict.layer").alias("layer"), F.col("__verdict.reason").alias("reason"))
+        with_name_verdict(rows.select("name").distinct(), policy)
+        .filter(F.col("verdict").isNotNull())
     )
 
 
+def screen_repeated(rows: DataFrame, policy: Policy, names: DataFrame | None = None) -> DataFrame:
+    """As ``screen``, for rows whose names repeat, such as offers.
+
+    Each distinct name is tested once, and only the names with a verdict are joined
+    back. ``names`` may hold the result of ``blocked_names``.
+    """
+    names = blocked_names(rows, policy) if names is None else names
+    judged = _listed(rows, policy).join(names.withColumnRenamed("verdict", "__by_name"), "name", "left")
+    return _decide(judged, rows.columns, F.col("__by_name"))
+
+
 def hash_only_verdict(hashes: DataFrame, policy_hashes: DataFrame) -> DataFrame:
     """Verdict for hashes without a known name: only the lists apply."""
     joined = hashes.join(hash_verdicts(policy_hashes), "file_hash", "left")

@@ -41,8 +41,8 @@ def _once(keep: bool) -> Callable:
     """Analyse a binding once per application and folder.
 
     With ``keep`` it is also held in memory and on disk: these are the tables a
-    catalog keeps anyway (files, sources, postings, verdicts, ledger), each much
-    smaller than the offers, and every search or report starts from them.
+    catalog keeps anyway (files, sources, postings, verdicts, ledger), each smaller
+    than the offers, and every search or report starts from them.
     """
 
     def wrap(fn: Callable) -> Callable:
@@ -71,6 +71,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Give every core a share of a table that lies in fewer files than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *columns) if len(df.inputFiles()) < cores else df
+
+
 def file_id(key: str) -> Column:
     return F.md5(F.concat(F.lit("f"), F.col(key).cast("string")))
 
@@ -108,7 +114,9 @@ def offers(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.col("p_name"))
     )
     partial = F.col("l_returnflag") == "R"
-    rows = table(spark, sf, "lineitem").join(_parts(spark, sf), F.col("l_partkey") == F.col("p_partkey"))
+    rows = spread(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber").join(
+        _parts(spark, sf), F.col("l_partkey") == F.col("p_partkey")
+    )
     ts = F.col("l_shipdate").cast("timestamp")
     return catalog.with_complete(
         rows.select(
@@ -348,9 +356,14 @@ SELECT o.*, {_VERDICT} FROM v_files o JOIN v_name_rules r ON o.name = r.name
 LEFT JOIN v_listed l ON o.file_hash = l.file_hash""")
 
 
+@_once(keep=True)
+def blocked_names(spark: SparkSession, sf: str) -> DataFrame:
+    return screen.blocked_names(offers(spark, sf), policy(spark, sf))
+
+
 @_once(keep=False)
 def screened_offers(spark: SparkSession, sf: str) -> DataFrame:
-    return screen.screen(offers(spark, sf), policy(spark, sf))
+    return screen.screen_repeated(offers(spark, sf), policy(spark, sf), blocked_names(spark, sf))
 
 
 @_once(keep=True)
@@ -366,7 +379,7 @@ def withheld(spark: SparkSession, sf: str) -> DataFrame:
 view("v_withheld", "SELECT file_hash FROM v_screened_files WHERE layer IS NOT NULL")
 
 
-@_once(keep=False)
+@_once(keep=True)
 def catches(spark: SparkSession, sf: str) -> DataFrame:
     return enforce.catches(screened_offers(spark, sf))
 
@@ -380,14 +393,14 @@ view("v_catches", "SELECT * FROM v_screened_offers WHERE layer IN ('L1', 'L2', '
 view("v_epochs", f"""
 SELECT *, sum(opens) OVER (PARTITION BY user_hash ORDER BY at_us) AS epoch FROM (
   SELECT *, CASE WHEN at_us - lag(at_us) OVER (PARTITION BY user_hash ORDER BY {_ORDER})
-      <= {RETENTION} * 1000000 THEN 0 ELSE 1 END AS opens FROM v_catches)""")
+      <= {RETENTION * 1_000_000} THEN 0 ELSE 1 END AS opens FROM v_catches)""")
 view("v_ledger", f"""
 SELECT user_hash, CAST(epoch AS BIGINT) AS epoch, file_hash, name, layer, reason, size, ip, at_us AS caught_us
 FROM (SELECT *, row_number() OVER (PARTITION BY user_hash, epoch, file_hash ORDER BY {_ORDER}) AS rn
   FROM v_epochs) WHERE rn = 1""")
 view("v_window_counts", f"""
 SELECT user_hash, epoch, file_hash, caught_us, count(*) OVER (PARTITION BY user_hash, epoch ORDER BY caught_us
-  RANGE BETWEEN {COUNT_WINDOW} * 1000000 PRECEDING AND CURRENT ROW) AS in_window FROM v_ledger""")
+  RANGE BETWEEN {COUNT_WINDOW * 1_000_000} PRECEDING AND CURRENT ROW) AS in_window FROM v_ledger""")
 view("v_publisher_bans", f"""
 SELECT user_hash, min(caught_us) AS banned_us, max(caught_us) AS last_banned_us, max(in_window) AS peak
 FROM v_window_counts WHERE in_window > {THRESHOLD} GROUP BY user_hash""")
@@ -397,3 +410,11 @@ def publisher_bans(spark: SparkSession, sf: str) -> DataFrame:
     return enforce.publisher_bans(
         ledger(spark, sf), window_seconds=COUNT_WINDOW, threshold=THRESHOLD
     )
+
+
+@_once(keep=True)
+def ban_marks(spark: SparkSession, sf: str) -> DataFrame:
+    return enforce.repeat_catch_bans(
+        catches(spark, sf), ledger(spark, sf), window_seconds=COUNT_WINDOW,
+        threshold=THRESHOLD, retention_seconds=RETENTION,
+    )
