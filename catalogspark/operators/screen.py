@@ -177,25 +177,22 @@ def with_name_verdict(rows: DataFrame, policy: Policy, *, when: Column | None =
     """
     terms, extra = list(policy.terms), list(policy.extra_terms)
     name = F.col("name") if when is None else F.when(when, F.col("name"))
-    steps = (
-        rows.withColumn("__lower", F.lower(name))
-        .withColumn("__once", text.repair_round(name))
-        .withColumn("__fixed", F.lower(F.coalesce(text.repair_round(F.col("__once")), F.col("__once"))))
+    once = F.col("__once")
+    steps = rows.withColumns({"__lower": F.lower(name), "__once": text.repair_round(name)}).withColumns(
+        {"__fixed": F.lower(F.coalesce(text.repair_round(once), once))}
     )
-    reasons = []
-    for label, source, suffix, layers in (
-        ("fixed", F.col("__fixed"), " (mojibake)", ("L1", "L4", "L2")),
-        ("plain", F.col("__lower"), "", ("L1", "L2", "L4")),
-    ):
-        for layer in layers:
-            reason = {
-                "L1": lambda s: text.first_matching_term(s, terms),
-                "L4": lambda s: text.first_matching_term(s, extra),
-                "L2": lambda s: rule_reason(s, policy.rule),
-            }[layer](source)
-            column = f"__{label}_{layer}"
-            steps = steps.withColumn(column, F.concat(reason, F.lit(suffix)) if suffix else reason)
-            reasons.append((layer, F.col(column)))
+    layer_reason = {
+        "L1": lambda lowered: text.first_matching_term(lowered, terms),
+        "L2": lambda lowered: rule_reason(lowered, policy.rule),
+        "L4": lambda lowered: text.first_matching_term(lowered, extra),
+    }
+    columns, reasons = {}, []
+    for source, suffix, layers in (("__fixed", " (mojibake)", "L1 L4 L2"), ("__lower", "", "L1 L2 L4")):
+        for layer in layers.split():
+            reason = layer_reason[layer](F.col(source))
+            columns[f"{source}_{layer}"] = F.concat(reason, F.lit(suffix)) if suffix else reason
+            reasons.append((layer, F.col(f"{source}_{layer}")))
+    steps = steps.withColumns(columns)
     verdict = F.coalesce(
         *[F.when(r.isNotNull(), F.struct(F.lit(layer).alias("layer"), r.alias("reason"))) for layer, r in reasons]
     )

@@ -59,6 +59,9 @@ def _once(keep: bool) -> Callable:
     return wrap
 
 
+kept = _once(keep=True)
+
+
 def release(spark: SparkSession) -> None:
     """Drop everything held for this application."""
     app = spark.sparkContext.applicationId
