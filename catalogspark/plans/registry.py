@@ -36,10 +36,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 def expand(sql: str) -> str:
     """Put the definitions of all used views in front of a statement."""
     ordered: list[str] = []
+    entered: set[str] = set()
 
     def visit(text: str) -> None:
         for name in dict.fromkeys(_VIEW_NAME.findall(text)):
-            if name in VIEWS and name not in ordered:
+            if name in VIEWS and name not in entered:
+                entered.add(name)
                 visit(VIEWS[name])
                 ordered.append(name)
 
@@ -47,7 +49,7 @@ def expand(sql: str) -> str:
     if not ordered:
         return sql
     definitions = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in ordered)
-    body = sql.strip()
-    if body.upper().startswith("WITH RECURSIVE"):
-        return f"WITH RECURSIVE {definitions},\n{body[len('WITH RECURSIVE'):]}"
-    return f"WITH {definitions}\n{body}"
+    body, opening = sql.strip(), "WITH RECURSIVE"
+    if body.startswith(opening):
+        return f"{opening} {definitions},\n{body[len(opening):]}"
+    return f"{opening} {definitions}\n{body}"
