@@ -100,17 +100,19 @@ def islands(df: DataFrame, *, keys: list[str], ts_us: str, gap_seconds: int) ->
     """Group rows of a key into runs with no pause longer than the gap.
 
     Rows of one slot as wide as the gap are in the same run, so a key is first
-    reduced to one row per slot. Returns (keys, slot, run).
+    reduced to one row per slot. Returns (keys, slot, run, run_rows).
     """
-    marked = df.withColumn("slot", slot(F.col(ts_us), gap_seconds))
-    slots = marked.groupBy(*keys, "slot").agg(F.min(ts_us).alias("__lo"), F.max(ts_us).alias("__hi"))
+    slots = df.groupBy(*keys, slot(F.col(ts_us), gap_seconds).alias("slot")).agg(
+        F.min(ts_us).alias("__lo"), F.max(ts_us).alias("__hi"), F.count("*").alias("__n")
+    )
     in_key = Window.partitionBy(*keys).orderBy("slot")
     starts = F.coalesce(
         F.col("__lo") - F.lag("__hi").over(in_key) > gap_seconds * MICROS, F.lit(True)
     ).cast("int")
     return (
         slots.withColumn("__starts", starts)
-        .select(*keys, "slot", F.sum("__starts").over(in_key).cast("bigint").alias("run"))
+        .withColumn("run", F.sum("__starts").over(in_key).cast("bigint"))
+        .select(*keys, "slot", "run", F.sum("__n").over(Window.partitionBy(*keys, "run")).alias("run_rows"))
     )
 
 
@@ -147,33 +149,36 @@ def _chunk_steps(times: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
     return times[:entries][keep], outcome[keep]
 
 
-def greedy_spacing(
-    df: DataFrame, *, keys: list[str], ts_us: str, seq: str, gap_seconds: int, chunk_gaps: int = 256
-) -> DataFrame:
-    """Add ``kept``: the row is the key's first, or at least the gap after the last kept one.
+def _fold_kept(times: Column, gap: int) -> Column:
+    """Kept instants of one short sorted run."""
+    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept"))
+
+    def step(acc: Column, t: Column) -> Column:
+        passes = acc["last"].isNull() | (t - acc["last"] >= gap)
+        return F.when(
+            passes, F.struct(t.alias("last"), F.array_append(acc["kept"], t).alias("kept"))
+        ).otherwise(acc)
+
+    return F.aggregate(times, start, step, lambda acc: acc["kept"])
 
-    The choice is sequential, but a chunk of the time axis only needs to know the
-    last kept time before it. Three passes: per chunk, the outcome for each way it
-    may be entered (in parallel); per key, a walk over those few rows; per chunk,
-    the final marks (in parallel).
+
+def _kept_in_long_runs(times: DataFrame, keys: list[str], gap: int, width: int) -> DataFrame:
+    """Kept instants of long runs, cut into time chunks.
+
+    A chunk only needs to know the last kept instant before it. Per chunk, the
+    outcome for each way it may be entered, in parallel; per run, a walk over
+    those few rows; per chunk, the final choice, in parallel.
     """
-    gap = gap_seconds * MICROS
-    width = gap_seconds * chunk_gaps
-    data = df.withColumn("__chunk", slot(F.col(ts_us), width))
-    key_fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
-    times_only = data.select(*keys, "__chunk", F.col(ts_us).alias("__t")).distinct()
+    data = times.withColumn("__chunk", slot(F.col("__t"), width))
+    fields = {f.name: f.dataType.simpleString() for f in data.schema}
+    key_fields = ", ".join(f"`{k}` {fields[k]}" for k in [*keys, "__chunk"])
 
     def summarise(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["__t"].to_numpy(dtype=np.int64))
-        entry, outcome = _chunk_steps(times, gap)
+        entry, outcome = _chunk_steps(np.sort(pdf["__t"].to_numpy(dtype=np.int64)), gap)
         row = {k: [v] for k, v in zip([*keys, "__chunk"], group)}
         row["entry"], row["outcome"] = [entry.tolist()], [outcome.tolist()]
         return pd.DataFrame(row)
 
-    steps = times_only.groupBy(*keys, "__chunk").applyInPandas(
-        summarise, schema=f"{key_fields}, __chunk bigint, entry array<bigint>, outcome array<bigint>"
-    )
-
     def walk(group: tuple, pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = pd.concat(pdfs).sort_values("__chunk")
         last, before = None, []
@@ -188,36 +193,61 @@ def greedy_spacing(
         out["last_kept"] = pd.array(before, dtype="Int64")
         return iter([out])
 
-    entered = steps.groupBy(*keys).applyInPandas(
-        walk, schema=f"{key_fields}, __chunk bigint, last_kept bigint"
-    )
-
-    def mark(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        times = np.sort(pdf["__t"].to_numpy(dtype=np.int64))
+    def choose(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        instants = np.sort(pdf["__t"].to_numpy(dtype=np.int64))
         last = pdf["last_kept"].iloc[0]
-        at = 0 if pd.isna(last) else int(np.searchsorted(times, int(last) + gap, side="left"))
-        jump = _next_free(times, gap)
+        at = 0 if pd.isna(last) else int(np.searchsorted(instants, int(last) + gap, side="left"))
+        jump = _next_free(instants, gap)
         kept = []
-        while at < len(times):
-            kept.append(times[at])
+        while at < len(instants):
+            kept.append(instants[at])
             at = jump[at]
         out = pd.DataFrame({k: [v] * len(kept) for k, v in zip([*keys, "__chunk"], group)})
         out["__t"] = np.asarray(kept, dtype=np.int64)
         return out
 
-    kept_times = (
-        times_only.join(entered, [*keys, "__chunk"])
-        .groupBy(*keys, "__chunk")
-        .applyInPandas(mark, schema=f"{key_fields}, __chunk bigint, __t bigint")
-        .withColumn("__hit", F.lit(True))
+    in_chunk = [*keys, "__chunk"]
+    steps = data.groupBy(*in_chunk).applyInPandas(
+        summarise, schema=f"{key_fields}, entry array<bigint>, outcome array<bigint>"
     )
-    # Of several rows at a kept instant only the first in sequence passes.
-    tie = Window.partitionBy(*keys, "__chunk", ts_us).orderBy(seq)
+    entered = steps.groupBy(*keys).applyInPandas(walk, schema=f"{key_fields}, last_kept bigint")
     return (
-        data.withColumn("__tie", F.row_number().over(tie))
-        .join(kept_times.withColumnRenamed("__t", ts_us), [*keys, "__chunk", ts_us], "left")
-        .select(
-            *df.columns,
-            (F.coalesce("__hit", F.lit(False)) & (F.col("__tie") == 1)).alias("kept"),
-        )
+        data.join(entered, in_chunk)
+        .groupBy(*in_chunk)
+        .applyInPandas(choose, schema=f"{key_fields}, __t bigint")
+        .drop("__chunk")
+    )
+
+
+def greedy_spacing(
+    df: DataFrame, *, keys: list[str], ts_us: str, seq: str, gap_seconds: int,
+    chunk_gaps: int = 256, fold_rows: int = 1000,
+) -> DataFrame:
+    """Add ``kept``: the row is the key's first, or at least the gap after the last kept one.
+
+    After a pause of the gap the next row is always kept, so the runs between such
+    pauses are independent. Short runs are folded in place; a run longer than
+    ``fold_rows`` is worked through in time chunks.
+    """
+    gap = gap_seconds * MICROS
+    times = df.select(*keys, F.col(ts_us).alias("__t")).distinct()
+    runs = islands(times, keys=keys, ts_us="__t", gap_seconds=gap_seconds)
+    placed = times.withColumn("slot", slot(F.col("__t"), gap_seconds)).join(runs, [*keys, "slot"])
+    short = (
+        placed.filter(F.col("run_rows") <= fold_rows)
+        .groupBy(*keys, "run")
+        .agg(F.array_sort(F.collect_list("__t")).alias("times"))
+        .select(*keys, F.explode(_fold_kept(F.col("times"), gap)).alias(ts_us))
+    )
+    long = _kept_in_long_runs(
+        placed.filter(F.col("run_rows") > fold_rows).select(*keys, "run", "__t"),
+        [*keys, "run"], gap, gap_seconds * chunk_gaps,
+    ).select(*keys, F.col("__t").alias(ts_us))
+    # Of several rows at a kept instant the first in sequence passes.
+    kept = (
+        df.join(short.unionByName(long), [*keys, ts_us], "left_semi")
+        .groupBy(*keys, ts_us).agg(F.min(seq).alias("__first"))
+    )
+    return df.join(kept, [*keys, ts_us], "left").select(
+        *df.columns, F.coalesce(F.col(seq) == F.col("__first"), F.lit(False)).alias("kept")
     )
