@@ -13,23 +13,27 @@ MIN_SIZE = 2 * 1024 * 1024
 MAX_NAMES = 12
 
 
-def _names(offers: DataFrame) -> DataFrame:
-    """Distinct (file, name) with the first offer of each; map-side combining absorbs hot files."""
-    return offers.groupBy("file_hash", "name").agg(F.min(order_key()).alias("first"))
-
-
 def admissions(offers: DataFrame, *, min_size: int = MIN_SIZE) -> DataFrame:
     """Files offered under a name that shares no long word with the stored one, and since when.
 
-    The stored name is the file's first. Returns (file_hash, stored, admitted).
+    The stored name is the file's first. Offers are reduced to their distinct names
+    before anything else, combined map-side, which absorbs hot files. Returns
+    (file_hash, stored, admitted, size); ``admitted`` is the order key of the
+    admitting offer.
     """
-    stored = offers.groupBy("file_hash").agg(F.min_by("name", order_key()).alias("stored"))
-    pairs = _names(offers.filter(F.col("size") >= min_size)).join(stored, "file_hash")
+    big = F.when(F.col("size") >= min_size, F.struct(order_key().alias("key"), "size"))
+    names = offers.groupBy("file_hash", "name").agg(
+        F.min(order_key()).alias("first"), F.min(big).alias("first_big")
+    )
+    stored = names.groupBy("file_hash").agg(F.min_by("name", "first").alias("stored"))
     unrelated = ~F.arrays_overlap(words4_chars(F.col("name")), words4_chars(F.col("stored")))
     return (
-        pairs.filter((F.col("name") != F.col("stored")) & unrelated)
+        names.filter(F.col("first_big").isNotNull())
+        .join(stored, "file_hash")
+        .filter((F.col("name") != F.col("stored")) & unrelated)
         .groupBy("file_hash", "stored")
-        .agg(F.min("first").alias("admitted"))
+        .agg(F.min("first_big").alias("a"))
+        .select("file_hash", "stored", F.col("a.key").alias("admitted"), "a.size")
     )
 
 
@@ -39,21 +43,17 @@ def alias_records(offers: DataFrame, *, min_size: int = MIN_SIZE, max_names: int
     ``seen`` counts every divergent offer since admission.
     """
     admitted = admissions(offers, min_size=min_size)
-    later = (
+    per_name = (
         offers.filter(F.col("size") >= min_size)
+        .drop("size")
         .join(admitted, "file_hash")
         .filter((F.col("name") != F.col("stored")) & (order_key() >= F.col("admitted")))
+        .groupBy("file_hash", "stored", "size", "name")
+        .agg(F.count("*").alias("n"), F.min(order_key()).alias("first"), F.max("ts").alias("last"))
     )
-    per_name = later.groupBy("file_hash", "stored", "name").agg(
-        F.count("*").alias("n"), F.min(order_key()).alias("first"), F.max("ts").alias("last"),
-        F.min_by("size", order_key()).alias("size"),
-    )
-    totals = per_name.groupBy("file_hash").agg(
-        F.sum("n").alias("seen"), F.max("last").alias("last_seen"),
-        F.min_by("size", "first").alias("size"),
-    )
+    totals = per_name.groupBy("file_hash").agg(F.sum("n").alias("seen"), F.max("last").alias("last_seen"))
     listed = first_per_key(per_name, ["file_hash"], ["first"], max_names - 1)
-    names = listed.groupBy("file_hash", "stored").agg(
+    names = listed.groupBy("file_hash", "stored", "size").agg(
         F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("ranked")
     )
     return names.join(totals, "file_hash").select(

@@ -26,6 +26,7 @@ def read_review_csv(spark: SparkSession, path: str) -> DataFrame:
         .schema("hash string, layer string, reason string, size bigint, sizeflag string, "
                 "names bigint, unrelated bigint, name string")
         .csv(path)
+        .fillna("", ["sizeflag"])
     )
 
 
