@@ -153,3 +153,10 @@ def first_sources(source_rows: DataFrame, n: int) -> DataFrame:
     """The first ``n`` sources of every file in order of arrival."""
     return first_per_key(source_rows, ["file_hash"], ["first_ts", "user_hash"], n)
 
+
+def write_bucketed(rows: DataFrame, table: str, *, key: str, buckets: int, sort: list[str] | None = None) -> None:
+    """Save a table bucketed by its key. Joins and groupings of such tables on the key do not shuffle."""
+    (
+        rows.repartition(buckets, key).write.mode("overwrite").format("parquet")
+        .bucketBy(buckets, key).sortBy(*(sort or [key])).saveAsTable(table)
+    )

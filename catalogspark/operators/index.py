@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from catalogspark.functions.text import SEPARATORS, is_token
+from catalogspark.operators.catalog import write_bucketed
 
 
 def postings(named: DataFrame, *, id_col: str = "file_hash", text_col: str = "name") -> DataFrame:
@@ -18,10 +19,7 @@ def postings(named: DataFrame, *, id_col: str = "file_hash", text_col: str = "na
 
 def write_postings(rows: DataFrame, table: str, *, buckets: int) -> None:
     """Save postings bucketed and sorted by token, so lookups and joins on token do not shuffle."""
-    (
-        rows.repartition(buckets, "token").write.mode("overwrite").format("parquet")
-        .bucketBy(buckets, "token").sortBy("token", "file_hash").saveAsTable(table)
-    )
+    write_bucketed(rows, table, key="token", buckets=buckets, sort=["token", "file_hash"])
 
 
 def apply_delta(base: DataFrame, changes: DataFrame) -> DataFrame:

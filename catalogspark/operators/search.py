@@ -135,7 +135,7 @@ def candidates(posting_rows: DataFrame, alternatives: list[frozenset[str]]) -> D
 def search(
     file_rows: DataFrame,
     posting_rows: DataFrame,
-    source_rows: DataFrame,
+    source_rows: DataFrame | None,
     tree: dict,
     *,
     withheld: DataFrame | None = None,
@@ -151,6 +151,8 @@ def search(
     ``match='substring'``, or when no token narrows, the tree alone decides.
     ``short`` answers nothing without a token and at most ten rows. ``max_scan``
     bounds the rows an unnarrowed query may look at, making its answer partial.
+    Without ``source_rows`` every file is taken to have a source, as it has after
+    eviction.
     """
     alternatives = _narrowing(tree, compat)
     pool = file_rows
@@ -165,7 +167,8 @@ def search(
     hits = pool.filter(predicate(tree, F.lower("name"), F.col("size")))
     if withheld is not None:
         hits = hits.join(withheld.select("file_hash"), "file_hash", "left_anti")
-    hits = hits.join(source_rows.select("file_hash"), "file_hash", "left_semi")
+    if source_rows is not None:
+        hits = hits.join(source_rows.select("file_hash"), "file_hash", "left_semi")
     return hits.orderBy("file_hash").limit(cap)
 
 

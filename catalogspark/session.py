@@ -15,10 +15,19 @@ RECOMMENDED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+    # Split a hot key's side of a join even when the step after it must then shuffle.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+# What results or skew handling depend on; sizes are left to the cluster.
+RUNTIME = [
+    "spark.sql.session.timeZone",
+    "spark.sql.adaptive.enabled",
+    "spark.sql.adaptive.skewJoin.enabled",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin",
+]
 
 
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
@@ -28,6 +37,13 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder
 
 
+def apply(spark: SparkSession) -> None:
+    """Set the settings that results or skew handling depend on, on a running session."""
+    for key in RUNTIME:
+        if spark.conf.isModifiable(key):
+            spark.conf.set(key, RECOMMENDED[key])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's checkpoint folder; make one only where none is named."""
     if spark.sparkContext.getCheckpointDir() is not None:

@@ -29,12 +29,13 @@ def measure(times: np.ndarray) -> tuple[float, float]:
 class FloodDetector(StatefulProcessor):
     """Per address: the events of the current window, and until when it is banned."""
 
-    def __init__(self, limits: FloodLimits):
-        self.limits = limits
+    def __init__(self, limits: FloodLimits, expire: bool):
+        self.limits, self.expire = limits, expire
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         # Nothing older than a ban or a window matters.
-        ttl = (max(self.limits.ban_seconds, self.limits.window_seconds) + 1) * 1000
+        longest = max(self.limits.ban_seconds, self.limits.window_seconds)
+        ttl = (longest + 1) * 1000 if self.expire else None
         self.recent = handle.getValueState("recent", "times array<bigint>", ttl)
         self.banned = handle.getValueState("banned", "until_us bigint", ttl)
 
@@ -73,14 +74,20 @@ class FloodDetector(StatefulProcessor):
         pass
 
 
-def stream_bans(events: DataFrame, limits: FloodLimits = FloodLimits()) -> DataFrame:
-    """Bans as they happen; ``events``: ip, at_us."""
+def stream_bans(
+    events: DataFrame, limits: FloodLimits = FloodLimits(), *, expire: bool = True
+) -> DataFrame:
+    """Bans as they happen; ``events``: ip, at_us.
+
+    ``expire`` drops the state of addresses that have been quiet for longer than any
+    ban. It goes by the clock, so a replay of old events must run without it.
+    """
     use_rocksdb(events.sparkSession)
     return events.select("ip", "at_us").groupBy("ip").transformWithStateInPandas(
-        statefulProcessor=FloodDetector(limits),
+        statefulProcessor=FloodDetector(limits, expire),
         outputStructType="ip bigint, at_us bigint, samples bigint, qpm double, stddev_ms double, reason string",
         outputMode="Append",
-        timeMode="ProcessingTime",
+        timeMode="ProcessingTime" if expire else "None",
     )
 
 

@@ -97,3 +97,21 @@ def test_generator_shape(spark):
     assert 7 < per_file <= 8
     assert offers.accept_offers(rows).count() == 2000
     assert offers.accept_offers(rows, max_batch_records=100).count() == 0
+
+
+def test_bucketed_tables_join_without_shuffle(spark, sf):
+    catalog.write_bucketed(b.files(spark, sf), "kept_files", key="file_hash", buckets=4)
+    catalog.write_bucketed(b.sources(spark, sf), "kept_sources", key="file_hash", buckets=4)
+    index.write_postings(b.postings(spark, sf), "kept_postings", buckets=4)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        counted = catalog.source_counts(spark.table("kept_sources")).join(spark.table("kept_files"), "file_hash")
+        lengths = index.token_counts(spark.table("kept_postings"))
+        for df in (counted, lengths):
+            assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+        assert counted.count() == b.files(spark, sf).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        for table in ("kept_files", "kept_sources", "kept_postings"):
+            spark.sql(f"DROP TABLE {table}")

@@ -38,7 +38,7 @@ def _replay(spark, tmp_path, df, column, transform, parts=2):
         transform(events).writeStream.format("parquet").option("path", sink)
         .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     )
-    query.awaitTermination(300)
+    assert query.awaitTermination(300)
     return spark.read.parquet(sink)
 
 
@@ -52,7 +52,7 @@ def test_bans_equal_batch(spark, sf, tmp_path):
         window_seconds=b.DAY * 3, min_samples=3, rate=2 / 1440, flood_rate=3 / 1440,
         stddev_ms=b.FLOOD.stddev_ms, ban_seconds=5 * b.DAY,
     )
-    streamed = _replay(spark, tmp_path, events, "at_us", lambda e: stream_traffic.stream_bans(e, limits))
+    streamed = _replay(spark, tmp_path, events, "at_us", lambda e: stream_traffic.stream_bans(e, limits, expire=False))
     expected = _rows(traffic.timed_bans(events, limits), "ip", "at_us", "samples", "reason")
     assert expected and _rows(streamed, "ip", "at_us", "samples", "reason") == expected
 
