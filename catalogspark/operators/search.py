@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from catalogspark.functions import filetype, net
 from catalogspark.functions.ordered import first_per_key
-from catalogspark.functions.text import MIN_TOKEN_BYTES, SEPARATORS, STOP_WORDS, is_token
+from catalogspark.functions.text import MIN_TOKEN_BYTES, SEPARATORS, STOP_WORDS
 from catalogspark.operators.catalog import first_sources, source_counts
+from catalogspark.operators.index import token_counts
 
 RESULT_CAP = 200
 SHORT_CAP = 10
@@ -198,44 +199,40 @@ def project_results(hits: DataFrame, source_rows: DataFrame) -> DataFrame:
 
 def batch_search(
     file_rows: DataFrame,
+    posting_rows: DataFrame,
     queries: DataFrame,
     *,
     withheld: DataFrame | None = None,
     source_rows: DataFrame | None = None,
     cap: int = RESULT_CAP,
 ) -> DataFrame:
-    """Answer a table of queries (query_id, tokens) in one pass over the catalog.
+    """Answer a table of queries (query_id, tokens) together.
 
     Every query is looked up by its rarest token only, and its other tokens are
-    tested on the joined row, so a frequent word costs nothing unless it is the
-    best a query has. Returns (query_id, rank, file_hash, name, size).
+    tested on the name of each candidate, so a frequent word costs nothing unless
+    it is the best a query has. Equal queries are answered once. Returns
+    (query_id, rank, file_hash, name, size).
     """
-    served = file_rows
-    if withheld is not None:
-        served = served.join(withheld.select("file_hash"), "file_hash", "left_anti")
-    if source_rows is not None:
-        served = served.join(source_rows.select("file_hash"), "file_hash", "left_semi")
-    words = F.array_distinct(F.split(F.lower("name"), SEPARATORS))
-    spread = (
-        served.withColumn("words", words)
-        .select("file_hash", "name", "size", "words", F.explode("words").alias("token"))
-        .filter(is_token(F.col("token")))
-    )
-    # The same need is looked up once, however many queries share it.
     needs = queries.select("query_id", F.array_sort(F.array_distinct("tokens")).alias("tokens"))
     asked = needs.select("tokens").distinct()
-    wanted = asked.select(F.explode("tokens").alias("token")).distinct()
-    lengths = spread.join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    wanted = asked.select("tokens", F.explode("tokens").alias("token"))
+    lengths = token_counts(posting_rows.join(wanted.select("token").distinct(), "token", "left_semi"))
     seeds = (
-        asked.select("tokens", F.explode("tokens").alias("token"))
-        .join(lengths, "token", "left")
+        wanted.join(lengths, "token", "left")
         .groupBy("tokens")
-        .agg(F.min_by("token", F.struct(F.coalesce("n", F.lit(0)), "token")).alias("token"))
+        .agg(F.min_by("token", F.struct(F.coalesce("postings", F.lit(0)), "token")).alias("token"))
     )
+    served = file_rows
+    if withheld is not None:
+        served = served.join(withheld.select("file_hash"), "file_hash", "left_anti")
+    if source_rows is not None:
+        served = served.join(source_rows.select("file_hash"), "file_hash", "left_semi")
+    words = F.split(F.lower("name"), SEPARATORS)
     hits = (
-        spread.join(seeds, "token")
-        .filter(F.size(F.array_except("tokens", "words")) == 0)
-        .select("tokens", "file_hash", "name", "size")
+        posting_rows.join(seeds, "token")
+        .select("tokens", "file_hash")
+        .join(served.select("file_hash", "name", "size"), "file_hash")
+        .filter(F.size(F.array_except("tokens", words)) == 0)
     )
     best = first_per_key(hits, ["tokens"], ["file_hash"], cap)
     return needs.join(best, "tokens").select("query_id", "rank", "file_hash", "name", "size")

@@ -10,7 +10,7 @@ from catalogspark.plans.alias_queries import blocks_by_file
 from catalogspark.plans.client_queries import AS_OF_US, latest_sessions, rendezvous, software
 from catalogspark.plans.registry import query, view
 from catalogspark.plans.screen_queries import block_counters
-from catalogspark.plans.traffic_queries import directory, timed_bans, verified
+from catalogspark.plans.traffic_queries import advertised, directory, timed_bans, verified
 
 SINCE_US = 978_307_200_000_000  # 2001-01-01 00:00:00 UTC
 
@@ -25,7 +25,7 @@ def a8(spark, sf):
 
 
 @query("a9_report_json", """
-SELECT json_object('country', country, 'clients', count(*)) AS line FROM v_clients GROUP BY country""")
+SELECT CAST(json_object('country', country, 'clients', count(*)) AS VARCHAR) AS line FROM v_clients GROUP BY country""")
 def a9(spark, sf):
     return reports.clients_by(b.clients(spark, sf), "country").select(
         F.to_json(F.struct("country", "clients")).alias("line")
@@ -176,9 +176,7 @@ def h14(spark, sf):
 SELECT d.ip, d.port, d.ip IN (SELECT ip FROM v_verified) AS verified,
   d.ip IN (SELECT ip FROM v_advertised WHERE s_acctbal > 8000) AS has_key FROM v_directory d""")
 def h15(spark, sf):
-    from catalogspark.plans.traffic_queries import _advertised
-
-    keyed = _advertised(spark, sf).filter(F.col("s_acctbal") > 8000)
+    keyed = advertised(spark, sf).filter(F.col("s_acctbal") > 8000)
     return reports.peer_table(directory(spark, sf).drop("added_us"), verified(spark, sf), keyed)
 
 

@@ -239,7 +239,7 @@ def batch_results(spark, sf, cap):
     asked = b.table(spark, sf, "part").select(F.concat("p_name", F.lit(" "), kind).alias("query_id")).distinct()
     sources = b.sources(spark, sf).join(b.departed(spark, sf), "user_hash", "left_anti")
     return search.batch_search(
-        b.files(spark, sf), asked.withColumn("tokens", text.tokens(F.col("query_id"))),
+        b.files(spark, sf), b.postings(spark, sf), asked.withColumn("tokens", text.tokens(F.col("query_id"))),
         withheld=b.withheld(spark, sf), source_rows=sources, cap=cap,
     )
 

@@ -154,7 +154,7 @@ SELECT ip, port, min(at_us) AS added_us FROM v_advertised WHERE ip >= {_PEER_BAS
 view("v_verified", f"SELECT ip, port, at_us + 1800000000 AS at_us FROM v_advertised WHERE s_acctbal > 4000 AND ip >= {_PEER_BASE}")
 
 
-def _advertised(spark, sf):
+def advertised(spark, sf):
     nation = F.col("s_nationkey")
     return b.table(spark, sf, "supplier").select(
         F.when(nation == 3, F.lit(b.BASE_IP) + F.col("s_suppkey"))
@@ -172,11 +172,11 @@ def _client_ips(spark, sf):
 
 
 def directory(spark, sf):
-    return peers.admit(_advertised(spark, sf).drop("s_acctbal"), _client_ips(spark, sf), cap=50)
+    return peers.admit(advertised(spark, sf).drop("s_acctbal"), _client_ips(spark, sf), cap=50)
 
 
 def verified(spark, sf):
-    return _advertised(spark, sf).filter((F.col("s_acctbal") > 4000) & (F.col("ip") >= _PEER_BASE)).select(
+    return advertised(spark, sf).filter((F.col("s_acctbal") > 4000) & (F.col("ip") >= _PEER_BASE)).select(
         "ip", "port", (F.col("at_us") + 1_800_000_000).alias("at_us")
     )
 

@@ -136,7 +136,7 @@ def stream_recent_keys(events: DataFrame, *, key: str, ts: str, ttl: str) -> Dat
 
 
 def stream_snapshots(events: DataFrame, *, ts: str, period: str, lateness: str) -> DataFrame:
-    """Users and events per period, given out once the period can no longer change."""
+    """Users (estimated) and events per period, given out once the period can no longer change."""
     return (
         events.withWatermark(ts, lateness)
         .groupBy(F.window(ts, period))

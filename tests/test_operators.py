@@ -77,7 +77,7 @@ def test_search(spark):
     assert run({"term": "linux"}, withheld=hidden) == ["f2"]
     queries = spark.createDataFrame([(1, ["iso", "linux"]), (2, ["windows"]), (3, ["linux", "iso"]), (4, ["none"])],
                                     "query_id int, tokens array<string>")
-    got = search.batch_search(files, queries).collect()
+    got = search.batch_search(files, posts, queries).collect()
     assert sorted((r["query_id"], r["rank"], r["file_hash"]) for r in got) == [
         (1, 1, "f1"), (1, 2, "f2"), (2, 1, "f3"), (3, 1, "f1"), (3, 2, "f2")]
 
