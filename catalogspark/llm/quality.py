@@ -40,13 +40,13 @@ def held_out(id_col: str | Column) -> Column:
     return F.coalesce(F.crc32(c.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, id_col: str = "doc_id") -> list[tuple]:
-    """(id, text, label) of at most ``per_class`` training rows for label 0 and 1 each, in id-hash order."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], id_col: str = "doc_id") -> list[tuple]:
+    """(id, text, label) of at most ``per_class`` training rows for label 0 and 1, in id-hash order."""
     known = labels.select(F.col(id_col).alias("id"), F.col(label).alias("y")).filter(F.col("id").isNotNull() & ~held_out("id"))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     ids: dict = {}
-    for y in (0, 1):
-        for r in known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class).collect():
+    for y, most in per_class.items():
+        for r in known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(most).collect():
             ids[r["id"]] = y
     if not ids:
         return []
@@ -117,7 +117,7 @@ def train(sample: list[tuple], prior: float | None = None) -> dict | None:
 
 def learn(docs: DataFrame, labels: DataFrame) -> dict | None:
     """Fit on the labelled training rows of ``docs``."""
-    sample = labelled_sample(docs, labels, "quality", PER_CLASS)
+    sample = labelled_sample(docs, labels, "quality", {0: PER_CLASS, 1: PER_CLASS})
     share = labels.filter(~held_out("doc_id")).agg(F.avg("quality")).first()[0]
     return train(sample, None if share is None else float(share))
 

@@ -16,6 +16,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 9, 10, 11, 12, 13]] = True
+#: All ASCII but letters and digits.
+PUNCTUATION = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -36,11 +38,24 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets
 
 
-def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words, and per text the index of its first word (one more at the end)."""
+def pieces(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of texts that are hashed together: up to PIECE_BYTES, or one longer text."""
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = int(np.searchsorted(offsets, offsets[i] + PIECE_BYTES, "right")) - 1
+        j = min(max(j, i + 1), n)
+        yield i, j
+        i = j
+
+
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _BLANK, prefixes: tuple[int, ...] = (),
+) -> tuple[np.ndarray, ...]:
+    """Hashes of all words, per text the index of its first word (one more at the end), then
+    the hashes of the words' first bytes for each length in ``prefixes`` (0 for shorter words)."""
     data = data[offsets[0]:offsets[-1]]
     offsets = offsets - offsets[0]
-    solid = ~_BLANK[data]
+    solid = ~gaps[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     starts = offsets[:-1]
@@ -48,13 +63,17 @@ def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     first[starts] = solid[starts]
     at = np.flatnonzero(solid)
     if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), *[np.zeros(0, np.uint64)] * len(prefixes)
     heads = np.flatnonzero(first[at])
     sizes = np.diff(np.append(heads, len(at)))
     place = np.arange(len(at)) - np.repeat(heads, sizes)
     values = _BYTE[_LOWER[data[at]]] * _PLACE[place & 0xFFFF]
     words = mixed(np.add.reduceat(values, heads) + sizes.astype(np.uint64) * _TURN[63])
-    return words, np.searchsorted(at[heads], offsets)
+    stems = []
+    for k in prefixes:
+        stem = mixed(np.add.reduceat(np.where(place < k, values, np.uint64(0)), heads) + _TURN[k])
+        stems.append(np.where(sizes >= k, stem, np.uint64(0)))
+    return words, np.searchsorted(at[heads], offsets), *stems
 
 
 def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
@@ -64,11 +83,8 @@ def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
     whole sequence as one shingle, a text without words none.
     """
     data, offsets = buffers(column)
-    i = 0
-    while i < len(column):
-        j = int(np.searchsorted(offsets, offsets[i] + PIECE_BYTES, "right")) - 1
-        j = min(max(j, i + 1), len(column))
-        words, bounds = _words(data, offsets[i:j + 1])
+    for i, j in pieces(offsets):
+        words, bounds = word_hashes(data, offsets[i:j + 1])
         many = max(len(words) - width + 1, 0)
         grams = np.zeros(many, np.uint64)
         for k in range(width):
@@ -82,7 +98,6 @@ def shingle_sets(column: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
                 yield mixed(np.sum(words[a:b] * _TURN[8:8 + n], keepdims=True) + _TURN[32 + n])
             else:
                 yield np.zeros(0, np.uint64)
-        i = j
 
 
 class OnePermutation:
