@@ -146,7 +146,7 @@ def line_dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     rows, distinct = line_decisions(docs, id_col=id_col, text_col=text_col)
     here = F.struct("id", "th", "line_no")
     lines = rows.select("id", "th", "line_no", "h", "chars").join(distinct, "h", "left")
-    lines = lines.withColumn("fate", F.when(F.col("chars") == 0, 0).when(~here.eqNullSafe(F.col("first")), 1).when("near", 2).otherwise(0))
+    lines = lines.withColumn("fate", F.when(F.col("chars") == 0, 0).when(~here.eqNullSafe(F.col("first")), 1).when(F.col("near"), 2).otherwise(0))
     place = F.col("line_no")
     per = lines.groupBy("id", "th").agg(
         (F.max("line_no") + 1).cast("bigint").alias("n_lines"),
