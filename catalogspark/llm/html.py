@@ -9,7 +9,8 @@ Context weights are the smoothed log-odds of a word lying in the content of labe
 pages. A context is the word's innermost block element, whether a content element
 (article, main) is open, and whether the page has one at all. Labels are the pages' own
 content elements: a bounded sample of ``TRAIN_PAGES`` pages with one, smallest id hash first.
-Contexts never seen in training score as plain text does.
+Contexts never seen in training score as plain text does, or as text outside the content
+where the page marks its content.
 
 Defined results: null, empty and text-free pages give an empty text; unclosed and stray
 tags are tolerated; an unclosed script, style or comment runs to the end of the page;
@@ -50,7 +51,7 @@ FURNITURE_WORDS = frozenset(
     "comment comments commentlist disqus respond replies reply share sharing social related recommended widget toolbar pagination pager login search "
     "complementary contentinfo dialog form".split())
 P_CLOSERS = BLOCK - {"body", "html", "head"}
-TAG_SCORE, WORD_SCORE, FURNITURE_SCORE = -0.5, 1.0, 0.0
+TAG_SCORE, WORD_SCORE, FURNITURE_SCORE = -0.1, 1.0, 0.0
 MAX_SCORE = 3.0
 
 
@@ -188,7 +189,8 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
         elif bad:
             scores.append(FURNITURE_SCORE)
         else:
-            scores.append(weights.get(context(block, content, has_content), WORD_SCORE) * len(value.split()))
+            unseen = -MAX_SCORE if has_content and not content else WORD_SCORE
+            scores.append(weights.get(context(block, content, has_content), unseen) * len(value.split()))
     a, b = best_region(scores)
     if b > a:
         # The region's edges are widened to the whole blocks they cut.
