@@ -10,10 +10,11 @@ their union. Steps, all distributed:
    costs one row from here on.
 3. Classes meet in buckets. A bucket emits a star: its hub, the member that meets most
    others over all buckets, against each other member. Pairs are confirmed on the full
-   sets. Buckets whose members are then still in several components drop their tested
-   hubs and emit stars again, with twice as many hubs each round, until no bucket holds an
-   untested pair from different components. So pairs stay linear in a group that is held
-   together by its hub, while no candidate that could join two components is skipped.
+   sets, and components are formed. Buckets that then still hold several components are
+   *open*. They emit stars again with a hub drawn by hash, and so do all pairs of open
+   buckets that a class lies in: similar texts of different components share about ten
+   buckets, all of them open, hence some 45 such pairs, while texts at a similarity of one half share one.
+   This repeats until a round finds no link. Every star is linear in its bucket.
 4. Components take the smallest id by min-label propagation with pointer jumping.
 
 No bucket, class or component is collected in one task: minima and hubs are aggregates with
@@ -28,11 +29,10 @@ several documents; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, written
@@ -112,6 +112,17 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(both * SIMILAR[1] >= union * SIMILAR[0]).select("a", "b")
 
 
+def stars(members: DataFrame, order: Column, sets: DataFrame) -> DataFrame:
+    """Confirmed links between each bucket's hub, the largest by ``order``, and its other members.
+
+    ``members`` has bucket, cls, n, comp; members of the hub's own component are not tested.
+    """
+    hubs = members.groupBy("bucket").agg(F.max_by(F.struct(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")), order).alias("hub"))
+    pairs = members.join(hubs.select("bucket", "hub.*"), "bucket").filter(
+        (F.col("comp") != F.col("cb")) & (F.least("n", "nb") * SIMILAR[1] >= F.greatest("n", "nb") * SIMILAR[0]))
+    return confirmed(pairs.select(F.col("cls").alias("a"), "b").distinct(), sets)
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """Per row of ``docs``: id, th (hash of the text), n_shingles, component_id, kept."""
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("th"), F.col(text_col).alias("text"))
@@ -122,43 +133,35 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     buckets = written(classes.select("cls", "h1", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")))
     met = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = written(buckets.join(met, "bucket"))
-    few = written(members.select("cls", "h1").distinct())
-    sets = texts.select(F.col("id").alias("cls"), "text", "th").join(few, "cls").select("cls", "h1", "text")
+    degree = written(members.groupBy("cls", "h1").agg(F.sum("size").alias("degree")))
+    sets = texts.select(F.col("id").alias("cls"), "text").join(degree, "cls").select("cls", "h1", "text")
+    members, degree = members.select("bucket", "cls", "n"), degree.select("cls", "degree")
     sets = written(full_sets(sets, width).dropDuplicates(["cls"]))
 
-    links: list[DataFrame] = []
-    comps = None
-    hubs_each = 1
-    while not members.isEmpty():
-        # Members that meet most others come first; they hold their group together.
-        degree = members.groupBy("cls").agg(F.sum("size").alias("degree"))
-        ranked = members.join(degree, "cls").withColumn("slot", F.pmod(F.xxhash64("cls", F.lit(hubs_each)), F.lit(hubs_each)))
-        hubs = ranked.groupBy("bucket", "slot").agg(F.max_by(F.struct("cls", "n", "comp") if comps is not None else F.struct("cls", "n"), F.struct("degree", F.xxhash64("cls"))).alias("hub"))
-        hubs = written(hubs.select("bucket", "hub.*"))
-        star = hubs.select("bucket", F.col("cls").alias("b"), F.col("n").alias("nb"), *([F.col("comp").alias("cb")] if comps is not None else []))
-        pairs = members.join(star, "bucket").filter(
-            (F.col("cls") != F.col("b")) & (F.least("n", "nb") * SIMILAR[1] >= F.greatest("n", "nb") * SIMILAR[0]))
-        if comps is not None:
-            pairs = pairs.filter("comp <> cb")
-        pairs = pairs.select(F.col("cls").alias("a"), "b").distinct()
-        found = written(confirmed(pairs, sets))
-        if not found.isEmpty() or comps is None:
-            links.append(found)
-            comps = components(reduce(DataFrame.union, links))
-        # Tested hubs leave; buckets in one component are done.
-        left = members.drop("comp").join(hubs.select("bucket", "cls"), ["bucket", "cls"], "left_anti")
-        left = left.join(comps.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        opened = left.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
-        members = written(left.join(opened, "bucket").select("bucket", "cls", "h1", "n", "size", "comp"))
-        hubs_each *= 2
-
-    if comps is None:
-        found = rows.select("id", "th", "n_shingles", F.col("id").alias("component_id"))
-    else:
-        named = written(classes.select("h1", "h2", "n_shingles", "cls").join(comps.withColumnRenamed("v", "cls"), "cls", "left")
-                        .select("h1", "h2", "n_shingles", F.coalesce("comp", "cls").alias("comp")))
-        found = rows.join(named, ["h1", "h2", "n_shingles"], "left").select(
-            "id", "th", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"))
+    # Members that meet most others come first; they hold their group together.
+    ranked = members.join(degree, "cls").withColumn("comp", F.col("cls"))
+    found = written(stars(ranked, F.struct("degree", F.xxhash64("cls")), sets))
+    links, turn = found, 0
+    while True:
+        comps = components(links)
+        turn += 1
+        placed = members.join(comps.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        opened = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
+        left = written(placed.join(opened, "bucket").select("bucket", "cls", "n", "comp"))
+        if left.isEmpty():
+            break
+        # Similar texts of different components meet in several open buckets, others rarely do.
+        also = left.select("cls", F.col("bucket").alias("second"))
+        twice = left.join(also, "cls").filter("bucket < second").withColumn("bucket", F.xxhash64("bucket", "second")).drop("second")
+        found = written(stars(left.unionByName(twice), F.xxhash64("cls", "bucket", F.lit(turn)), sets))
+        if found.isEmpty():
+            break
+        links = links.union(found)
+
+    named = classes.select("h1", "h2", "n_shingles", "cls").join(comps.withColumnRenamed("v", "cls"), "cls", "left")
+    named = named.select("h1", "h2", "n_shingles", F.coalesce("comp", "cls").alias("comp"))
+    found = rows.join(written(named), ["h1", "h2", "n_shingles"], "left").select(
+        "id", "th", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"))
     return found.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
 
 
