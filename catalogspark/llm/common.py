@@ -31,6 +31,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_runtime_filters(spark: SparkSession) -> None:
+    """Let Spark filter a scan by a Bloom filter of the join's small side at every size.
+
+    It does so by itself from 10 GB on. The small side needs a filter of its own in the plan.
+    """
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", "true")
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "0")
+
+
 def text_of(column: str | Column) -> Column:
     """A text column with null as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -9,7 +9,8 @@ always stay.
 2. Two lines within one edit agree on their first or on their last half, cut by the shorter
    one's length. Lines that share neither with another distinct line are done; this
    drops no pair.
-3. The rest emit their deletion neighbourhood as hashed keys, one per character. Replaced
+3. The rest emit their deletion neighbourhood as hashed keys, one per character of the half
+   in which the edit can lie. Replaced
    characters meet in (variant, place): all lines of such a key are within one edit
    of each other. An inserted character meets as (variant) = the shorter line itself. So the
    earliest line per key, a pre-aggregated minimum, is the only partner anyone needs.
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, with_runtime_filters, written
 
 MIN_CHARS = 24
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -56,36 +57,38 @@ def deletion_hashes(line: str) -> tuple[int, np.ndarray]:
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """(h, first, kind, key) for rows of (h, first, line, same, longer, shorter).
+    """(h, kind, key) for rows of (h, line, same_head, same_tail, longer, shorter_head, shorter_tail).
 
-    ``same`` asks for keys that meet lines of equal length, ``longer`` for the line itself as
-    key, ``shorter`` for keys that meet lines one character shorter.
+    ``same_*`` ask for keys that meet lines of equal length (kind 0), ``longer`` for the line
+    itself as key (kind 1), ``shorter_*`` for keys that meet lines one character shorter
+    (kind 2). With only the head in common the edit lies in the tail, and the other way round.
     """
-    first = lines.schema["first"].dataType.simpleString()
+    flags = ("same_head", "same_tail", "longer", "shorter_head", "shorter_tail")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                row = {c: batch.column(c)[i].as_py() for c in ("h", "line", "same", "longer", "shorter")}
-                itself, deleted = deletion_hashes(row["line"])
-                kinds, keys = [], []
-                if row["same"]:
-                    keys.append(_mix(deleted + np.arange(len(deleted), dtype=np.uint64) * _STEP))
-                    kinds.append(np.zeros(len(deleted), np.int8))
-                if row["longer"]:
+                line = batch.column("line")[i].as_py()
+                same_head, same_tail, longer, shorter_head, shorter_tail = (batch.column(c)[i].as_py() for c in flags)
+                itself, deleted = deletion_hashes(line)
+                n = len(deleted)
+                keys, kinds = [np.zeros(0, np.uint64)], [np.zeros(0, np.int8)]
+                if same_head or same_tail:
+                    a, b = 0 if same_tail else n // 2, n if same_head else n // 2
+                    keys.append(_mix(deleted[a:b] + np.arange(a, b, dtype=np.uint64) * _STEP))
+                    kinds.append(np.zeros(b - a, np.int8))
+                if longer:
                     keys.append(np.array([itself], np.uint64))
                     kinds.append(np.ones(1, np.int8))
-                if row["shorter"]:
-                    keys.append(np.unique(deleted))
+                if shorter_head or shorter_tail:
+                    a, b = 0 if shorter_tail else (n - 1) // 2, n if shorter_head else (n - 1) // 2 + 1
+                    keys.append(np.unique(deleted[a:b]))
                     kinds.append(np.full(len(keys[-1]), 2, np.int8))
-                if not keys:
-                    continue
                 key, kind = np.concatenate(keys).astype(np.int64), np.concatenate(kinds)
-                where = pa.array(np.full(len(key), i))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("h").take(where), batch.column("first").take(where), pa.array(kind), pa.array(key)], names=["h", "first", "kind", "key"])
+                h = np.full(len(key), batch.column("h")[i].as_py(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(kind), pa.array(key)], names=["h", "kind", "key"])
 
-    return lines.mapInArrow(run, f"h bigint, first {first}, kind tinyint, key bigint")
+    return lines.mapInArrow(run, "h bigint, kind tinyint, key bigint")
 
 
 def line_decisions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -93,6 +96,7 @@ def line_decisions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     ``near`` says that an earlier line lies within one edit.
     """
+    with_runtime_filters(docs.sparkSession)
     named = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.split(text_col, "\n").alias("parts"))
     split = named.select("id", "th", F.posexplode("parts").alias("line_no", "line"))
     n = F.char_length("line")
@@ -110,25 +114,32 @@ def line_decisions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # Keys that at least two distinct lines share, by how many are shorter and longer.
     keyed = distinct.filter("halves is not null").select("h", F.posexplode("halves").alias("j", "half"))
     keyed = keyed.withColumn("long", (F.col("j") >= 2).cast("int"))
-    shared = keyed.groupBy("half").agg(F.sum("long").alias("longs"), F.sum(1 - F.col("long")).alias("shorts")).filter("shorts > 0 and shorts + longs > 1")
+    shared = keyed.groupBy("half").agg(F.sum("long").alias("longs"), F.sum(1 - F.col("long")).alias("shorts"))
+    shared = written(shared.filter("shorts > 0 and shorts + longs > 1"))
+    j, more = F.col("j"), F.col("shorts") > 1
     wanted = keyed.join(shared, "half").groupBy("h").agg(
-        F.max((F.col("long") == 0) & (F.col("shorts") > 1)).alias("same"),
-        F.max((F.col("long") == 0) & (F.col("longs") > 0)).alias("longer"),
-        F.max(F.col("long") == 1).alias("shorter"))
-    wanted = written(wanted.filter("same or longer or shorter").join(distinct.select("h", "first"), "h"))
+        F.max((j == 0) & more).alias("same_head"), F.max((j == 1) & more).alias("same_tail"),
+        F.max((j < 2) & (F.col("longs") > 0)).alias("longer"),
+        F.max(j == 2).alias("shorter_head"), F.max(j == 3).alias("shorter_tail"))
+    wanted = wanted.filter("same_head or same_tail or longer or shorter_head or shorter_tail")
+    wanted = written(wanted.join(distinct.select("h", "first"), "h"))
 
     # Texts of those lines, one scan; the documents are joined on their id, not line by line.
-    places = wanted.groupBy(F.col("first.id").alias("at_id"), F.col("first.th").alias("at_th")).agg(
-        F.collect_list(F.struct("h", "first", "same", "longer", "shorter")).alias("asked"))
-    found = named.join(places, (F.col("id") == F.col("at_id")) & (F.col("th") == F.col("at_th")))
+    asked = F.struct("h", "first", "same_head", "same_tail", "longer", "shorter_head", "shorter_tail")
+    places = wanted.groupBy(F.col("first.id").alias("id"), F.col("first.th").alias("at_th")).agg(F.count(F.lit(1)).alias("lines"), F.collect_list(asked).alias("asked"))
+    found = named.join(written(places).filter("lines > 0"), "id").filter("th = at_th")
     found = found.select("parts", F.explode_outer("asked").alias("a")).filter("a is not null")
     texts = written(found.select("a.*", F.get("parts", F.col("a.first.line_no")).alias("line")).dropDuplicates(["h"]))
 
+    # Keys in which lines meet are few; the rest of the variants is done.
     keys = written(variants(texts))
+    met = keys.groupBy("key").agg(F.min("h").alias("h0"), F.max("h").alias("h1"), F.min("kind").alias("k0"), F.max("kind").alias("k1"))
+    met = written(met.filter("h0 <> h1 and (k0 = 0 or k0 <> k1)").select("key"))
+    hits = written(keys.join(met, "key").join(wanted.select("h", "first"), "h"))
     best = F.struct("first", "h")
-    same = keys.filter("kind = 0").groupBy("key").agg(F.min(best).alias("best"), F.max(best).alias("worst")).filter("best <> worst")
-    pairs = keys.filter("kind = 0").join(same.select("key", "best"), "key").select("h", "first", F.col("best.first").alias("other"), F.col("best.h").alias("other_h"))
-    short, long = keys.filter("kind = 1"), keys.filter("kind = 2")
+    same, short, long = hits.filter("kind = 0"), hits.filter("kind = 1"), hits.filter("kind = 2")
+    earliest = same.groupBy("key").agg(F.min(best).alias("best"))
+    pairs = same.join(earliest, "key").select("h", "first", F.col("best.first").alias("other"), F.col("best.h").alias("other_h"))
     below = short.select("key", F.col("first").alias("other"), F.col("h").alias("other_h"))
     pairs = pairs.union(long.join(below, "key").select("h", "first", "other", "other_h"))
     above = long.groupBy("key").agg(F.min(best).alias("best"))

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, with_runtime_filters, written
 from .shingles import OnePermutation, _TURN, mixed, shingle_sets
 
 SIMILAR = (75, 100)
@@ -125,6 +125,7 @@ def stars(members: DataFrame, order: Column, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """Per row of ``docs``: id, th (hash of the text), n_shingles, component_id, kept."""
+    with_runtime_filters(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("th"), F.col(text_col).alias("text"))
     rows = written(signatures(texts, width))
 
@@ -134,7 +135,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     met = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = written(buckets.join(met, "bucket"))
     degree = written(members.groupBy("cls", "h1").agg(F.sum("size").alias("degree")))
-    sets = texts.select(F.col("id").alias("cls"), "text").join(degree, "cls").select("cls", "h1", "text")
+    sets = texts.select(F.col("id").alias("cls"), "text").join(degree.filter("degree > 1"), "cls").select("cls", "h1", "text")
     members, degree = members.select("bucket", "cls", "n"), degree.select("cls", "degree")
     sets = written(full_sets(sets, width).dropDuplicates(["cls"]))
 

