@@ -164,7 +164,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = contamination(docs, benchmark).filter("contaminated")
     gone = written(found.select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th")).distinct())
     match = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64(text_of("text")) == F.col("gone_th"))
-    return docs.join(gone, match, "left_anti")
+    # What goes grows with the corpus: it is never broadcast.
+    return docs.join(gone.hint("merge"), match, "left_anti")
 
 
 def op2_decontaminate(spark, sf_dir):

@@ -170,7 +170,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents of which ``kept`` holds, one of each group, with their columns."""
     gone = written(near_duplicates(docs).filter("not kept").select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th")).distinct())
     match = (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("gone_th"))
-    return docs.join(gone, match, "left_anti")
+    # What goes grows with the corpus: it is never broadcast.
+    return docs.join(gone.hint("merge"), match, "left_anti")
 
 
 def op3_near_duplicates(spark, sf_dir):

@@ -108,30 +108,45 @@ def piece_of() -> Column:
     return F.pmod(F.xxhash64("id"), F.col("pieces")).cast("int")
 
 
-def shard(
+def assign(
     docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col: str = "text",
-    lang_col: str | None = "lang", source_col: str | None = "source", keep: list[str] | None = None,
+    lang_col: str | None = "lang", source_col: str | None = "source",
 ) -> DataFrame:
-    """The columns ``keep`` of ``docs`` (all) as struct ``row``, with size, text_crc32, shard and slot."""
+    """Per row of ``docs``: id, key (of id and text), size, text_crc32, shard, slot. No text is shuffled."""
     none = F.lit(None).cast("string")
     text = text_of(text_col)
-    packed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]).alias("row"), F.col(id_col).alias("id"),
-        (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text).alias("gkey"),
-        (F.col(lang_col) if lang_col else none).alias("lang"), (F.col(source_col) if source_col else none).alias("source"),
-    )
-    if keep is not None:
-        packed = written(packed)
-    units = written(kd_units(packed.select("gkey", "id", "size", "lang", "source"), shards))
-    # Groups in pieces are few (each holds over 1/16 of a shard); all others join on the text alone.
+    slim = written(docs.select(
+        F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), (F.octet_length(text) + 1).cast("bigint").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"), F.md5(text).alias("gkey"),
+        (F.col(lang_col) if lang_col else none).alias("lang"), (F.col(source_col) if source_col else none).alias("source")))
+    units = written(kd_units(slim.select("gkey", "id", "size", "lang", "source"), shards))
     whole = units.filter("pieces = 1").select(F.col("gkey").alias("of"), "shard")
-    cut = units.filter("pieces > 1").select(F.col("gkey").alias("cut_of"), "piece", F.col("shard").alias("cut_shard"))
-    counts = cut.groupBy("cut_of").agg(F.count(F.lit(1)).alias("n"), F.map_from_entries(F.collect_list(F.struct("piece", "cut_shard"))).alias("shards"))
-    counts = counts.join(units.filter("pieces > 1").groupBy("gkey").agg(F.max("pieces").alias("pieces")), F.col("cut_of") == F.col("gkey")).drop("gkey")
-    placed = packed.join(whole, F.col("gkey") == F.col("of"), "left").join(F.broadcast(counts), F.col("gkey") == F.col("cut_of"), "left")
+    # Groups in pieces hold over 1/16 of a shard each, so there are at most 16 per shard.
+    cut = units.filter("pieces > 1").groupBy(F.col("gkey").alias("cut_of")).agg(
+        F.max("pieces").alias("pieces"), F.map_from_entries(F.collect_list(F.struct("piece", "shard"))).alias("shards"))
+    placed = slim.drop("lang", "source").join(F.broadcast(cut), F.col("gkey") == F.col("cut_of"), "left")
+    placed = placed.join(whole, F.col("gkey") == F.col("of"), "left")
     placed = placed.withColumn("shard", F.coalesce(F.col("shard"), F.element_at("shards", piece_of())))
-    placed = placed.drop("of", "cut_of", "n", "shards", "pieces", "lang", "source")
-    return numbered(placed)
+    return numbered(placed.select("id", "key", "size", "text_crc32", "gkey", "shard"))
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """128 bits of a row's id and text."""
+    return F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("~")), text_of(text_col)))
+
+
+def shard(docs: DataFrame, shards: int = 16, *, id_col: str = "doc_id", text_col: str = "text", **columns) -> DataFrame:
+    """Each row of ``docs`` as struct ``row``, with its shard and slot.
+
+    Rows repeated with one id and text take the places of that key in turn. The texts
+    move once, to where their key's places are.
+    """
+    places = assign(docs, shards, id_col=id_col, text_col=text_col, **columns)
+    places = places.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("shard", "slot"))).alias("places"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(id_col, text_col).alias("key"))
+    rows = rows.withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("key")))
+    place = F.element_at("places", F.col("turn"))
+    return rows.join(places, "key").select("row", place["shard"].alias("shard"), place["slot"].alias("slot"))
 
 
 def numbered(placed: DataFrame) -> DataFrame:
@@ -143,11 +158,11 @@ def numbered(placed: DataFrame) -> DataFrame:
     rows = rows.join(offsets, (F.col("shard") == F.col("of_shard")) & (F.col("mini") == F.col("of_mini")))
     at = Window.partitionBy("shard", "mini").orderBy("id", "gkey")
     slot = F.col("offset") + F.row_number().over(at) - 1
-    return rows.withColumn("slot", slot).select("row", "size", "text_crc32", "shard", "slot")
+    return rows.withColumn("slot", slot).select("id", "key", "size", "text_crc32", "shard", "slot")
 
 
 def op6_shard_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return shard(docs, 16, keep=["doc_id"]).select(
-        F.col("row.doc_id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+    return assign(docs, 16).select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))

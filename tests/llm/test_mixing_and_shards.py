@@ -67,13 +67,16 @@ def test_shards_are_even_gapless_and_keep_copies(spark):
     rows += [(10_000 + i, "the very same text " * 3, f"s{i % 3}") for i in range(40)]
     rows += [(20_000, None), (20_001, ""), (None, "no id"), (3, "twice"), (3, "twice")]
     docs = documents(spark, rows).withColumn("shard", F.lit("clash")).withColumn("size", F.lit(1.5))
-    got = shards.shard(docs, 16).select("row.doc_id", "row.text", "size", "text_crc32", "shard", "slot").collect()
+    placed = shards.shard(docs, 16)
+    assert placed.select("row.*").columns == docs.columns
+    got = placed.select("row.doc_id", "row.text", "shard", "slot").collect()
     assert len(got) == len(rows)
+    slim = shards.assign(docs, 16).collect()
+    assert sorted((str(r.id), r.shard, r.slot) for r in slim) == sorted((str(r.doc_id), r.shard, r.slot) for r in got)
+    assert sorted((str(r.id), r.size, r.text_crc32) for r in slim) == sorted((str(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
     loads, slots, homes = Counter(), defaultdict(list), defaultdict(set)
     for r in got:
-        raw = (r.text or "").encode()
-        assert r.size == len(raw) + 1 and r.text_crc32 == zlib.crc32(raw)
-        loads[r.shard] += r.size
+        loads[r.shard] += len((r.text or "").encode()) + 1
         slots[r.shard].append(r.slot)
         homes[r.text].add(r.shard)
     assert sorted(loads) == list(range(16))
@@ -85,7 +88,7 @@ def test_shards_are_even_gapless_and_keep_copies(spark):
 
 def test_a_group_of_copies_larger_than_a_shard_is_cut(spark):
     rows = [(i, "copied text of some length " * 4) for i in range(900)] + [(1000 + i, f"other text {i} " * 8) for i in range(1800)]
-    got = shards.shard(documents(spark, rows), 8).select("size", "shard").collect()
+    got = shards.assign(documents(spark, rows), 8).select("size", "shard").collect()
     loads = Counter()
     for r in got:
         loads[r.shard] += r.size
