@@ -5,7 +5,7 @@
 ``run`` writes every stage's result to the shared checkpoint folder and goes on from
 there. Every stage but the last returns the columns of ``documents``; the mix returns a
 document as often as it is taken, so its rows repeat from there on. The last stage adds
-``shard`` and ``slot``.
+``shard`` and ``slot``, in place of columns of these names.
 """
 
 from __future__ import annotations
@@ -41,7 +41,8 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their shard and their slot in it."""
-    return shards.shard(docs, SHARDS).select("row.*", F.col("shard").alias("shard"), F.col("slot").alias("slot"))
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in ("shard", "slot")]
+    return shards.shard(docs, SHARDS).select(*own, "shard", "slot")
 
 
 STAGES = [
