@@ -9,8 +9,8 @@ their union. Steps, all distributed:
 2. Documents with equal sets become one class (pre-aggregated), so a group of copies
    costs one row from here on.
 3. Classes meet in buckets. A bucket emits a star: its hub, the member that meets most
-   others over all buckets, against each other member. Pairs are confirmed on the full
-   sets, and components are formed. Buckets that then still hold several components are
+   others over all buckets, against each other member. Pairs whose signatures agree
+   enough are confirmed on the full sets, and components are formed. Buckets that then still hold several components are
    *open*. They emit stars again with a hub drawn by hash, and so do all pairs of open
    buckets that a class lies in: similar texts of different components share about ten
    buckets, all of them open, hence some 45 such pairs, while texts at a similarity of one half share one.
@@ -36,9 +36,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, with_runtime_filters, written
-from .shingles import OnePermutation, _TURN, mixed, shingle_sets
+from .shingles import PLANES, OnePermutation, _TURN, mixed, shingle_sets
 
 SIMILAR = (75, 100)
+NOTHING = np.zeros(0, np.int64)
+#: Two sets of at least LARGE shingles at the threshold agree in 98 +- 4.8 of 128 bins (four bits
+#: each); below 74, five deviations under that, the full sets are not compared.
+LARGE, AGREE = 200, 74
 
 
 def _set_key(shingles: np.ndarray) -> tuple[int, int]:
@@ -48,27 +52,33 @@ def _set_key(shingles: np.ndarray) -> tuple[int, int]:
     return int(np.uint64(a).astype(np.int64)), int(np.uint64(b).astype(np.int64))
 
 
+def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    """A list column of 64-bit numbers."""
+    lengths = np.append(0, np.cumsum([len(a) for a in arrays]))
+    return pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate([NOTHING, *arrays])))
+
+
 def signatures(texts: DataFrame, width: int = 5) -> DataFrame:
-    """``n_shingles``, set key ``h1, h2`` and ``bands`` for rows of (id, th, text)."""
+    """``n_shingles``, set key ``h1, h2``, ``bands`` and ``planes`` for rows of (id, th, text)."""
     id_type = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = OnePermutation()
         for batch in batches:
-            n, h1, h2, bands = [], [], [], []
+            n, h1, h2, bands, planes = [], [], [], [], []
             for s in shingle_sets(batch.column("text"), width):
                 n.append(len(s))
                 a, b = _set_key(s)
                 h1.append(a)
                 h2.append(b)
-                bands.append(minhash.bands(s).astype(np.int64) if len(s) else np.zeros(0, np.int64))
-            lengths = np.append(0, np.cumsum([len(b) for b in bands]))
-            lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *bands])))
+                signature = minhash.signature(s) if len(s) else None
+                bands.append(minhash.bands(signature).astype(np.int64) if len(s) else NOTHING)
+                planes.append(minhash.planes(signature) if len(s) else NOTHING)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists],
-                names=["id", "th", "n_shingles", "h1", "h2", "bands"])
+                [batch.column("id"), batch.column("th"), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), lists(bands), lists(planes)],
+                names=["id", "th", "n_shingles", "h1", "h2", "bands", "planes"])
 
-    return texts.mapInArrow(run, f"id {id_type}, th bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>")
+    return texts.mapInArrow(run, f"id {id_type}, th bigint, n_shingles bigint, h1 bigint, h2 bigint, bands array<bigint>, planes array<bigint>")
 
 
 def full_sets(texts: DataFrame, width: int = 5) -> DataFrame:
@@ -82,9 +92,7 @@ def full_sets(texts: DataFrame, width: int = 5) -> DataFrame:
                 if _set_key(s)[0] == keys[i]:
                     keep.append(i)
                     sets.append(s.astype(np.int64))
-            lengths = np.append(0, np.cumsum([len(s) for s in sets]))
-            lists = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))
-            yield pa.RecordBatch.from_arrays([batch.column("cls").take(pa.array(keep, pa.int64())), lists], names=["cls", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("cls").take(pa.array(keep, pa.int64())), lists(sets)], names=["cls", "shingles"])
 
     return texts.mapInArrow(run, f"cls {id_type}, shingles array<bigint>")
 
@@ -112,14 +120,28 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(both * SIMILAR[1] >= union * SIMILAR[0]).select("a", "b")
 
 
+def may_agree() -> Column:
+    """Whether the signatures of a pair (planes, other) leave a chance of similar sets."""
+    words = 128 // 64
+    differ = []
+    for w in range(words):
+        bits = None
+        for p in range(PLANES):
+            x = F.get("planes", F.lit(p * words + w)).bitwiseXOR(F.get("other", F.lit(p * words + w)))
+            bits = x if bits is None else bits.bitwiseOR(x)
+        differ.append(F.bit_count(bits))
+    return (F.least("n", "nb") < LARGE) | (128 - (differ[0] + differ[1]) >= AGREE)
+
+
 def stars(members: DataFrame, order: Column, sets: DataFrame) -> DataFrame:
     """Confirmed links between each bucket's hub, the largest by ``order``, and its other members.
 
-    ``members`` has bucket, cls, n, comp; members of the hub's own component are not tested.
+    ``members`` has bucket, cls, n, comp, planes; members of the hub's own component are not tested.
     """
-    hubs = members.groupBy("bucket").agg(F.max_by(F.struct(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb")), order).alias("hub"))
-    pairs = members.join(hubs.select("bucket", "hub.*"), "bucket").filter(
-        (F.col("comp") != F.col("cb")) & (F.least("n", "nb") * SIMILAR[1] >= F.greatest("n", "nb") * SIMILAR[0]))
+    hub = F.struct(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("planes").alias("other"))
+    hubs = members.groupBy("bucket").agg(F.max_by(hub, order).alias("hub")).select("bucket", "hub.*")
+    pairs = members.join(hubs, "bucket").filter(
+        (F.col("comp") != F.col("cb")) & (F.least("n", "nb") * SIMILAR[1] >= F.greatest("n", "nb") * SIMILAR[0]) & may_agree())
     return confirmed(pairs.select(F.col("cls").alias("a"), "b").distinct(), sets)
 
 
@@ -130,25 +152,25 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = written(signatures(texts, width))
 
     classes = rows.filter("n_shingles > 0 and id is not null").groupBy("h1", "h2", "n_shingles")
-    classes = classes.agg(F.min("id").alias("cls"), F.any_value("bands").alias("bands"))
-    buckets = written(classes.select("cls", "h1", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket")))
+    classes = written(classes.agg(F.min("id").alias("cls"), F.any_value("bands").alias("bands"), F.any_value("planes").alias("planes")))
+    buckets = classes.select("cls", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     met = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = written(buckets.join(met, "bucket"))
-    degree = written(members.groupBy("cls", "h1").agg(F.sum("size").alias("degree")))
-    sets = texts.select(F.col("id").alias("cls"), "text").join(degree.filter("degree > 1"), "cls").select("cls", "h1", "text")
-    members, degree = members.select("bucket", "cls", "n"), degree.select("cls", "degree")
+    degree = members.groupBy("cls").agg(F.sum("size").alias("degree"))
+    degree = written(degree.join(classes.select("cls", "h1", "planes"), "cls"))
+    sets = texts.select(F.col("id").alias("cls"), "text").join(degree.filter("degree > 1").select("cls", "h1"), "cls").select("cls", "h1", "text")
     sets = written(full_sets(sets, width).dropDuplicates(["cls"]))
+    members = written(members.select("bucket", "cls", "n").join(degree.select("cls", "degree", "planes"), "cls"))
 
     # Members that meet most others come first; they hold their group together.
-    ranked = members.join(degree, "cls").withColumn("comp", F.col("cls"))
-    found = written(stars(ranked, F.struct("degree", F.xxhash64("cls")), sets))
+    found = written(stars(members.withColumn("comp", F.col("cls")), F.struct("degree", F.xxhash64("cls")), sets))
     links, turn = found, 0
     while True:
         comps = components(links)
         turn += 1
         placed = members.join(comps.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         opened = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
-        left = written(placed.join(opened, "bucket").select("bucket", "cls", "n", "comp"))
+        left = written(placed.join(opened, "bucket").select("bucket", "cls", "n", "comp", "planes"))
         if left.isEmpty():
             break
         # Similar texts of different components meet in several open buckets, others rarely do.

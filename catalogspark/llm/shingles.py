@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+PLANES = 4  # bits kept of each bin for a quick look at two signatures
 PIECE_BYTES = 1 << 20  # texts are hashed together up to this size; a longer text alone
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -115,8 +116,8 @@ class OnePermutation:
         self.walk = np.stack([rng.permutation(bins) for _ in range(bins)])
         self.turn = rng.integers(1, 1 << 63, (bins // rows, rows), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
-    def bands(self, shingles: np.ndarray) -> np.ndarray:
-        """One hash per band from a sorted, non-empty set."""
+    def signature(self, shingles: np.ndarray) -> np.ndarray:
+        """The smallest hash of every bin, from a sorted, non-empty set."""
         low = np.searchsorted(shingles, self.bounds)
         filled = np.diff(np.append(low, len(shingles))) > 0
         source = np.arange(self.bins)
@@ -124,5 +125,13 @@ class OnePermutation:
         if len(empty):
             walk = self.walk[empty]
             source[empty] = walk[np.arange(len(empty)), np.argmax(filled[walk], axis=1)]
-        signature = shingles[low[source]].reshape(-1, self.rows)
-        return mixed((signature * self.turn).sum(axis=1, dtype=np.uint64) + self.turn[:, 0])
+        return shingles[low[source]]
+
+    def bands(self, signature: np.ndarray) -> np.ndarray:
+        """One hash per band."""
+        return mixed((signature.reshape(-1, self.rows) * self.turn).sum(axis=1, dtype=np.uint64) + self.turn[:, 0])
+
+    def planes(self, signature: np.ndarray) -> np.ndarray:
+        """Four low bits of every bin, one bit of all bins after the other, as 64-bit numbers."""
+        bits = mixed(signature)[None, :] >> np.arange(PLANES, dtype=np.uint64)[:, None] & np.uint64(1)
+        return np.packbits(bits.astype(np.uint8), axis=1).reshape(-1).view(np.int64)

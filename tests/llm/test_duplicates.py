@@ -96,11 +96,22 @@ def test_signatures_estimate_similarity():
     minhash, agree = OnePermutation(), []
     for _ in range(60):
         common, a, b = (np.unique(rng.integers(0, 2 ** 63, k, dtype=np.uint64) * np.uint64(2)) for k in (150, 25, 25))
-        x, y = (minhash.bands(np.union1d(common, s)) for s in (a, b))
+        x, y = (minhash.bands(minhash.signature(np.union1d(common, s))) for s in (a, b))
         agree.append((x == y).mean())
     assert np.mean(agree) == pytest.approx(0.75 ** 4, abs=0.05)
 
 
+def test_the_quick_look_at_signatures_spares_similar_sets():
+    rng = np.random.default_rng(1)
+    minhash, agree = OnePermutation(), {True: [], False: []}
+    for similar, sizes in ((True, (600, 100, 100)), (False, (400, 300, 300))):
+        for _ in range(300):
+            common, a, b = (np.unique(rng.integers(0, 2 ** 63, k, dtype=np.uint64) * np.uint64(2)) for k in sizes)
+            x, y = (minhash.planes(minhash.signature(np.union1d(common, s))).view(np.uint64).reshape(4, 2) for s in (a, b))
+            agree[similar].append(128 - sum(int(v).bit_count() for v in np.bitwise_or.reduce(x ^ y)))
+    assert min(agree[True]) >= neardup.AGREE and np.mean([v < neardup.AGREE for v in agree[False]]) > 0.9
+
+
 def test_shingles_do_not_depend_on_neighbours():
     texts = ["a b c d e f", "", None, "x" * 70_000 + " b c d e", "é ê", "  lead and trail  "]
     alone = [next(iter(shingle_sets(pa.array([t], pa.string())))) for t in texts]
