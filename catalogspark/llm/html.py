@@ -46,10 +46,11 @@ BLOCK = frozenset(
 CONTENT = frozenset(("article", "main"))
 FURNITURE = frozenset("nav aside footer header form head menu button select option dialog label input fieldset".split())
 FURNITURE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification "
+    "ad ads adsbygoogle adslot advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification "
     "alert popup modal overlay newsletter subscribe signup sidebar rail menu nav navbar navigation breadcrumb breadcrumbs header masthead footer "
     "comment comments commentlist disqus respond replies reply share sharing social related recommended widget toolbar pagination pager login search "
     "complementary contentinfo dialog form".split())
+ARTICLE_WORDS = frozenset("comment comments reply replies respond related recommended promo promotion ad ads advert advertisement sponsored".split())
 P_CLOSERS = BLOCK - {"body", "html", "head"}
 TAG_SCORE, WORD_SCORE, FURNITURE_SCORE = -0.1, 1.0, 0.0
 MAX_SCORE = 3.0
@@ -59,15 +60,17 @@ def furniture(name: str, tag: str) -> bool:
     """Whether an element is page furniture by its name, class, id or role."""
     if name in FURNITURE:
         return True
-    if name in ("body", "html") or name in CONTENT:
+    if name in ("body", "html", "main"):
         return False
-    if "=" not in tag:
-        return " hidden" in tag and HIDDEN.search(tag) is not None
-    for values in MARK.findall(tag):
+    # An article is furniture only as a comment or a teaser of something else.
+    words = ARTICLE_WORDS if name == "article" else FURNITURE_WORDS
+    for values in MARK.findall(tag) if "=" in tag else ():
+        before = ""
         for word in re.split(r"[\s_-]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", "".join(values)).lower()):
-            if word in FURNITURE_WORDS:
+            if word in words and before not in ("has", "no", "with", "without"):
                 return True
-    return HIDDEN.search(tag) is not None
+            before = word
+    return "hidden" in tag.lower() and HIDDEN.search(tag) is not None or "display" in tag.lower() and HIDDEN.search(tag) is not None
 
 
 def tokens(page: str) -> tuple[list[tuple], bool]:

@@ -248,6 +248,15 @@ def test_odd_pages(page, text):
     assert html.main_text(page, {}) == text
 
 
+@pytest.mark.parametrize("part,kept", [
+    ("<div class='has-sidebar'><p>x y z</p></div>", True), ("<div class='sidebar'><p>x y z</p></div>", False), ("<div id=commentList><p>x y z</p></div>", False),
+    ("<article class='comment'><p>x y z</p></article>", False), ("<p style='display: none'>x y z</p>", False), ("<p hidden>x y z</p>", False),
+    ("<div role='navigation'>x y z</div>", False), ("<figure><figcaption>x y z</figcaption></figure>", True), ("<noscript>x y z</noscript>", False)])
+def test_furniture_inside_content(part, kept):
+    text = html.main_text(f"<main><p>one two three four five</p>{part}<p>six seven eight nine</p></main>", {})
+    assert text == "one two three four five\n\n" + ("x y z\n\n" if kept else "") + "six seven eight nine"
+
+
 def test_region_is_the_maximum():
     rng = random.Random(0)
     for _ in range(300):
