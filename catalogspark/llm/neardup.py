@@ -40,9 +40,9 @@ from .shingles import PLANES, OnePermutation, _TURN, mixed, shingle_sets
 
 SIMILAR = (75, 100)
 NOTHING = np.zeros(0, np.int64)
-#: Two sets of at least LARGE shingles at the threshold agree in 98 +- 4.8 of 128 bins (four bits
-#: each); below 74, five deviations under that, the full sets are not compared.
-LARGE, AGREE = 200, 74
+#: Share of equal bins (four bits each) of two sets at the threshold, and the deviations
+#: below it at which a pair is not compared any more.
+AGREE, DEVIATIONS = 0.75 + 0.25 / 16, 5
 
 
 def _set_key(shingles: np.ndarray) -> tuple[int, int]:
@@ -130,7 +130,10 @@ def may_agree() -> Column:
             x = F.get("planes", F.lit(p * words + w)).bitwiseXOR(F.get("other", F.lit(p * words + w)))
             bits = x if bits is None else bits.bitwiseOR(x)
         differ.append(F.bit_count(bits))
-    return (F.least("n", "nb") < LARGE) | (128 - (differ[0] + differ[1]) >= AGREE)
+    # A small set fills few bins, and agreement then rests on as many draws only.
+    filled = 128 * (1 - F.exp(-F.least("n", "nb") / F.lit(128.0)))
+    slack = DEVIATIONS * 128 * F.sqrt(F.lit(AGREE * (1 - AGREE)) / filled)
+    return 128 - (differ[0] + differ[1]) >= 128 * AGREE - slack
 
 
 def stars(members: DataFrame, order: Column, sets: DataFrame) -> DataFrame:
