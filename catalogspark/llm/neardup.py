@@ -22,8 +22,8 @@ map-side combine, and bucket joins are split by the skew join of adaptive execut
 
 Defined results: a null or blank text has an empty set, is linked with nothing and is
 kept; a null id takes no part in links (component null, kept true); rows repeated with one
-id and text are the same document and share their result; one id with several texts is
-several documents; an empty table gives an empty result.
+id and text are the same document and share their result; one id with several texts is one
+document that is linked through any of them; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -92,9 +92,10 @@ def full_sets(texts: DataFrame, width: int = 5) -> DataFrame:
                 if _set_key(s)[0] == keys[i]:
                     keep.append(i)
                     sets.append(s.astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("cls").take(pa.array(keep, pa.int64())), lists(sets)], names=["cls", "shingles"])
+            rows = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("cls").take(rows), batch.column("h1").take(rows), lists(sets)], names=["cls", "h1", "shingles"])
 
-    return texts.mapInArrow(run, f"cls {id_type}, shingles array<bigint>")
+    return texts.mapInArrow(run, f"cls {id_type}, h1 bigint, shingles array<bigint>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -162,7 +163,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     degree = members.groupBy("cls").agg(F.sum("size").alias("degree"))
     degree = written(degree.join(classes.select("cls", "h1", "planes"), "cls"))
     sets = texts.select(F.col("id").alias("cls"), "text").join(degree.filter("degree > 1").select("cls", "h1"), "cls").select("cls", "h1", "text")
-    sets = written(full_sets(sets, width).dropDuplicates(["cls"]))
+    sets = written(full_sets(sets, width).dropDuplicates(["cls", "h1"])).select("cls", "shingles")
     members = written(members.select("bucket", "cls", "n").join(degree.select("cls", "degree", "planes"), "cls"))
 
     # Members that meet most others come first; they hold their group together.

@@ -91,6 +91,14 @@ def test_near_dedup_defined_results(spark):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 3]
 
 
+def test_an_id_with_several_texts_is_linked_through_each(spark):
+    rng = random.Random(5)
+    a, b = words(rng, 80), words(rng, 80)
+    rows = [(7, " ".join(a)), (7, " ".join(b)), (9, " ".join(edited(rng, a, 1))), (8, " ".join(edited(rng, b, 1))), (5, " ".join(words(rng, 80)))]
+    got = sorted((r.id, r.component_id) for r in neardup.near_duplicates(documents(spark, rows)).collect())
+    assert got == [(5, 5), (7, 7), (7, 7), (8, 7), (9, 7)]
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     minhash, agree = OnePermutation(), []
