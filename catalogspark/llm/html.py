@@ -218,9 +218,14 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
 
 def labelled_pages(pages: DataFrame, id_col: str, html_col: str) -> list[str]:
     """The training sample: pages with a content element, smallest id hash first."""
+    rank = F.xxhash64(id_col)
     marked = pages.filter(F.col(html_col).rlike("(?i)<(article|main)[ >]"))
-    rows = marked.orderBy(F.xxhash64(id_col), id_col).select(html_col).limit(TRAIN_PAGES).collect()
-    return [r[0] for r in rows]
+    # Only hashes are ranked; the pages are fetched afterwards.
+    last = marked.select(rank.alias("h")).orderBy("h").limit(TRAIN_PAGES).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    rows = marked.filter(rank <= last).select(rank.alias("h"), html_col).limit(TRAIN_PAGES).collect()
+    return [r[1] for r in sorted(rows)]
 
 
 def extracted(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
