@@ -43,6 +43,8 @@ NOTHING = np.zeros(0, np.int64)
 #: Share of equal bins (four bits each) of two sets at the threshold, and the deviations
 #: below it at which a pair is not compared any more.
 AGREE, DEVIATIONS = 0.75 + 0.25 / 16, 5
+#: Slots of the frequency table that orders shingles (any order is exact), and bits by which components are told apart.
+SLOTS, BITS = 1 << 18, 16
 
 
 def _set_key(shingles: np.ndarray) -> tuple[int, int]:
@@ -149,6 +151,81 @@ def stars(members: DataFrame, order: Column, sets: DataFrame) -> DataFrame:
     return confirmed(pairs.select(F.col("cls").alias("a"), "b").distinct(), sets)
 
 
+def frequencies(sets: DataFrame) -> np.ndarray:
+    """In how many sets the shingles of each of ``SLOTS`` hash slots occur: a bounded table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            values = batch.column("shingles").flatten().to_numpy(zero_copy_only=False)
+            total += np.bincount(values & (SLOTS - 1), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    counted = sets.select("shingles").mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(SLOTS, np.int64)
+    out[counted.column("slot").to_numpy()] = counted.column("n").to_numpy()
+    return out
+
+
+def rarest(sets: DataFrame, frequency: np.ndarray) -> DataFrame:
+    """``n``, ``planes`` and the prefix ``rare`` for rows of (cls, comp, shingles), rarest shingles first.
+
+    The prefix is as long as the smallest similar set needs.
+    """
+    id_type = sets.schema["cls"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        minhash = OnePermutation()
+        for batch in batches:
+            n, planes, rare = [], [], []
+            for row in batch.column("shingles"):
+                s = row.values.to_numpy(zero_copy_only=False)
+                n.append(len(s))
+                planes.append(minhash.planes(minhash.signature(s.astype(np.uint64))))
+                smallest = -(-len(s) * SIMILAR[0] // SIMILAR[1])
+                common = -(-(len(s) + smallest) * SIMILAR[0] // sum(SIMILAR))
+                rare.append(s[np.lexsort((s, frequency[s & (SLOTS - 1)]))[:len(s) - common + 1]])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("cls"), batch.column("comp"), pa.array(n, pa.int64()), lists(planes), lists(rare)], names=["cls", "comp", "n", "planes", "rare"])
+
+    return sets.mapInArrow(run, f"cls {id_type}, comp {id_type}, n bigint, planes array<bigint>, rare array<bigint>")
+
+
+def finished(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """All links between classes of different components among ``left`` (cls, comp).
+
+    Two sets of n and m shingles are similar when they have ``(n + m) * 3 / 7`` in common; then
+    their prefixes that leave out one less share a shingle. A shingle at place i of n
+    thus only counts for partners up to the size ``most``. Components that share a rare
+    shingle meet at the lowest bit in which their hashes differ, so members of one
+    component never do.
+    """
+    ends = sets.join(left.select("cls", "comp").distinct(), "cls").select("cls", "comp", "shingles")
+    ends = written(rarest(ends, frequencies(sets)))
+    rare = ends.select("cls", "comp", "n", F.posexplode("rare").alias("i", "shingle"))
+    met = rare.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("shingle")
+    most = F.expr(f"(n * {SIMILAR[1]} - i * {sum(SIMILAR)}) div {SIMILAR[0]}")
+    rare = written(rare.join(met, "shingle").select("shingle", "cls", "comp", "n", most.alias("most")))
+    # The last level holds components that agree in all bits; there everyone is on both sides.
+    h = F.xxhash64("comp")
+    levels = [F.struct(
+        F.xxhash64("shingle", F.lit(k), h.bitwiseAND(F.lit((1 << k) - 1))).alias("key"),
+        (F.shiftright(h, k).bitwiseAND(F.lit(1)).cast("int") if k < BITS else F.lit(side)).alias("side"))
+        for k in range(BITS + 1) for side in ((0, 1) if k == BITS else (0,))]
+    placed = rare.select("cls", "comp", "n", "most", F.explode(F.array(*levels)).alias("at")).select("cls", "comp", "n", "most", "at.*")
+    both = placed.groupBy("key").agg(
+        F.min(F.when(F.col("side") == 0, F.col("n"))).alias("n0"), F.min(F.when(F.col("side") == 1, F.col("n"))).alias("n1"),
+        F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("n0 is not null and n1 is not null and lo <> hi").select("key", "n0", "n1")
+    placed = written(placed.join(both, "key").filter("most >= if(side = 0, n1, n0)").select("key", "side", "cls", "comp", "n", "most"))
+    a = placed.filter("side = 0").select("key", F.col("cls").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("most").alias("ma"))
+    b = placed.filter("side = 1").select("key", F.col("cls").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("mb"))
+    pairs = a.join(b, "key").filter("nb <= ma and na <= mb and ca <> cb").select("a", "b").distinct()
+    one = ends.select(F.col("cls").alias("a"), "n", "planes")
+    two = ends.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("planes").alias("other"))
+    return confirmed(pairs.join(one, "a").join(two, "b").filter(may_agree()).select("a", "b").distinct(), sets)
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """Per row of ``docs``: id, th (hash of the text), n_shingles, component_id, kept."""
     with_runtime_filters(docs.sparkSession)
@@ -182,6 +259,10 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         twice = left.join(also, "cls").filter("bucket < second").withColumn("bucket", F.xxhash64("bucket", "second")).drop("second")
         found = written(stars(left.unionByName(twice), F.xxhash64("cls", "bucket", F.lit(turn)), sets))
         if found.isEmpty():
+            # A star tests one hub of each bucket: the other pairs are still untested.
+            found = written(finished(left, sets))
+            if not found.isEmpty():
+                comps = components(links.union(found))
             break
         links = links.union(found)
 

@@ -99,6 +99,20 @@ def test_an_id_with_several_texts_is_linked_through_each(spark):
     assert got == [(5, 5), (7, 7), (7, 7), (8, 7), (9, 7)]
 
 
+def test_pairs_inside_a_crowd_below_the_threshold_are_found(spark):
+    """Texts that share a passage are similar by 0.737; some pairs among them share three shingles more, 0.757."""
+    rng = random.Random(17)
+    passage, rows, want = words(rng, 200, 10 ** 9), [], {}
+    for i in range(300):
+        own = words(rng, 35, 10 ** 9)
+        if i % 2 and i < 160:
+            own[:3] = rows[i - 1][1].split()[200:203]
+        rows.append((i, " ".join(passage + own)))
+        want[i] = i - 1 if i % 2 and i < 160 else i
+    got = {r.id: r.component_id for r in neardup.near_duplicates(documents(spark, rows)).collect()}
+    assert got == want
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     minhash, agree = OnePermutation(), []
