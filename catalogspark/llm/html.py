@@ -6,11 +6,12 @@ content region. The region's text blocks, without the elements that are boilerpl
 their name or class, are the main text.
 
 Context weights are the smoothed log-odds of a word lying in the content of labelled
-pages. A context is the word's innermost block element, whether a content element
-(article, main) is open, and whether the page has one at all. Labels are the pages' own
-content elements: a bounded sample of ``TRAIN_PAGES`` pages with one, smallest id hash first.
-Contexts never seen in training score as plain text does, or as text outside the content
-where the page marks its content.
+pages. A context is the word's innermost block element and whether a content element
+(article, main) is open. Labels are the pages' own content elements that are not furniture:
+a bounded sample of ``TRAIN_PAGES`` pages with one, smallest id hash first. Where a page has no
+such element, or the text outside outweighs it ``TRUST`` times, words score by the shape of
+their block (element, size, links) and tags by their own log-odds, learned from the
+same pages with the content elements hidden; shapes never seen back off to size and links.
 
 Defined results: null, empty and text-free pages give an empty text; unclosed and stray
 tags are tolerated; an unclosed script, style or comment runs to the end of the page;
@@ -54,6 +55,11 @@ ARTICLE_WORDS = frozenset("comment comments reply replies respond related recomm
 P_CLOSERS = BLOCK - {"body", "html", "head"}
 TAG_SCORE, WORD_SCORE, FURNITURE_SCORE = -0.1, 1.0, 0.0
 MAX_SCORE = 3.0
+# Where nothing marks the content: words in links, and tags other than these.
+LINK_SCORE, STRUCTURE_SCORE = -1.0, -0.5
+PLAIN = frozenset("p br b i em strong span code h1 h2 h3 h4 h5 h6 blockquote pre body html article main".split())
+#: Marked content is believed until the words outside score so many times more.
+TRUST = 2
 
 
 def furniture(name: str, tag: str) -> bool:
@@ -79,20 +85,20 @@ def tokens(page: str) -> tuple[list[tuple], bool]:
     Kinds: ``text`` (value: raw text), ``block`` (a block boundary), ``tag`` (any other tag).
     """
     out: list[tuple] = []
-    open_: list[tuple[str, bool]] = []  # element and whether it is furniture
+    open_: list[tuple[str, bool, bool]] = []  # element, whether it is furniture, whether it counts as content
     depth_furniture = depth_content = 0
     has_content = False
     at = 0
 
     def push(kind: str, value: str) -> None:
-        block = next((n for n, _ in reversed(open_) if n in BLOCK), "")
+        block = next((n for n, *_ in reversed(open_) if n in BLOCK), "")
         out.append((kind, value, block, depth_furniture > 0, depth_content > 0))
 
     def pop() -> None:
         nonlocal depth_furniture, depth_content
-        name, bad = open_.pop()
+        _, bad, marks = open_.pop()
         depth_furniture -= bad
-        depth_content -= name in CONTENT
+        depth_content -= marks
 
     size = len(page)
     while at < size:
@@ -113,11 +119,11 @@ def tokens(page: str) -> tuple[list[tuple], bool]:
             spots = [i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name]
             if spots:
                 # An inline end tag does not close the blocks opened inside it.
-                if name in BLOCK or all(n not in BLOCK for n, _ in open_[spots[0] + 1:]):
+                if name in BLOCK or all(n not in BLOCK for n, *_ in open_[spots[0] + 1:]):
                     while len(open_) > spots[0]:
                         pop()
                 else:
-                    n, bad = open_.pop(spots[0])
+                    _, bad, _ = open_.pop(spots[0])
                     depth_furniture -= bad
             push("block" if name in BLOCK else "tag", "/" + name)
             continue
@@ -126,10 +132,10 @@ def tokens(page: str) -> tuple[list[tuple], bool]:
             at = end.end() if end else size
             push("tag", name)
             continue
-        if name in P_CLOSERS and open_ and any(n == "p" for n, _ in open_):
+        if name in P_CLOSERS and open_ and any(n == "p" for n, *_ in open_):
             # A block start ends an open paragraph and whatever inline elements it holds.
-            spot = max(i for i, (n, _) in enumerate(open_) if n == "p")
-            if all(n not in BLOCK for n, _ in open_[spot + 1:]):
+            spot = max(i for i, (n, *_) in enumerate(open_) if n == "p")
+            if all(n not in BLOCK for n, *_ in open_[spot + 1:]):
                 while len(open_) > spot:
                     pop()
         if name in ("li", "dt", "dd", "option", "tr"):
@@ -138,13 +144,14 @@ def tokens(page: str) -> tuple[list[tuple], bool]:
                 while len(open_) > spot:
                     pop()
         push("block" if name in BLOCK else "tag", name)
-        if name in CONTENT:
-            has_content = True
         if name not in VOID and not tag.endswith("/>"):
             bad = furniture(name, tag)
-            open_.append((name, bad))
+            # A comment or a teaser, or what lies in furniture, marks no content.
+            marks = name in CONTENT and not bad and not depth_furniture
+            has_content = has_content or marks
+            open_.append((name, bad, marks))
             depth_furniture += bad
-            depth_content += name in CONTENT
+            depth_content += marks
     return out, has_content
 
 
@@ -152,20 +159,65 @@ def context(block: str, content: bool, has_content: bool) -> str:
     return f"{block}|{int(content)}|{int(has_content)}"
 
 
+def shapes(seq: list[tuple]) -> list[tuple | None]:
+    """Per text its block's element, size class and whether links hold half of its words.
+
+    Content elements are left out, so that pages without them look alike.
+    """
+    out: list[tuple | None] = [None] * len(seq)
+    group: list[int] = []
+    words = linked = link = 0
+    for i, (kind, value, *_) in enumerate([*seq, ("block", "")]):
+        if kind == "text" and (n := len(value.split())):
+            group.append(i)
+            words += n
+            linked += n * link
+        elif kind == "tag" and value in ("a", "/a"):
+            link = int(value == "a")
+        elif kind == "block":
+            for k in group:
+                out[k] = ("" if seq[k][2] in CONTENT else seq[k][2], min(words.bit_length(), 6), 2 * linked >= words)
+            group, words, linked = [], 0, 0
+    return out
+
+
+def shape_weight(weights: dict[str, float], shape: tuple) -> float:
+    """Weight of a word by its block's shape, else by size and links alone, else fixed."""
+    name, size, links = shape
+    return weights.get(f"~{name}|{size}|{links}", weights.get(f"~{size}|{links}", LINK_SCORE if links else WORD_SCORE))
+
+
+def tag_weight(weights: dict[str, float], name: str) -> float:
+    name = name.lstrip("/")
+    return weights.get(f"<{name}", TAG_SCORE if name in PLAIN else STRUCTURE_SCORE)
+
+
 def learn_weights(pages: list[str]) -> dict[str, float]:
     """Log-odds of words being content, per context, from pages that mark their content."""
     inside: dict[str, float] = {}
     total: dict[str, float] = {}
+
+    def count(key: str, n: int, good: bool) -> None:
+        total[key] = total.get(key, 0) + n
+        inside[key] = inside.get(key, 0) + n * good
+
     for page in pages:
         seq, has_content = tokens(page)
         if not has_content:
             continue
-        for kind, value, block, bad, content in seq:
-            if kind == "text" and (n := len(value.split())):
-                key = context(block, content, True)
-                total[key] = total.get(key, 0) + n
-                inside[key] = inside.get(key, 0) + n * (content and not bad)
-    return {k: float(np.clip(np.log((inside[k] + 1) / (n - inside[k] + 1)), -MAX_SCORE, MAX_SCORE)) for k, n in total.items()}
+        for (kind, value, block, bad, content), shape in zip(seq, shapes(seq)):
+            good = content and not bad
+            if kind != "text":
+                if value.lstrip("/") not in CONTENT:
+                    count("<" + value.lstrip("/"), 1, good)
+            elif shape:
+                n, (name, size, links) = len(value.split()), shape
+                count(context(block, content, True), n, good)
+                count(f"~{size}|{links}", n, good)
+                count(f"~{name}|{size}|{links}", n, good)
+    odds = {k: float(np.clip(np.log((inside[k] + 1) / (n - inside[k] + 1)), -MAX_SCORE, MAX_SCORE)) for k, n in total.items()}
+    # No tag counts for the content.
+    return {k: min(w, TAG_SCORE) if k[0] == "<" else w for k, w in odds.items()}
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -185,15 +237,22 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
     seq, has_content = tokens(page)
+    # By shape alone, as if nothing marked the content.
+    plain = [0.0 if not x else shape_weight(weights, x) * len(t[1].split()) for t, x in zip(seq, shapes(seq))]
+    if has_content:
+        inside, outside = (sum(max(w, 0) for w, t in zip(plain, seq) if not t[3] and t[4] == side) for side in (True, False))
+        has_content = outside <= TRUST * inside or not outside
     scores = []
-    for kind, value, block, bad, content in seq:
-        if kind != "text":
-            scores.append(TAG_SCORE if not bad else FURNITURE_SCORE)
-        elif bad:
+    for (kind, value, block, bad, content), by_shape in zip(seq, plain):
+        if bad:
             scores.append(FURNITURE_SCORE)
+        elif kind != "text":
+            scores.append(TAG_SCORE if has_content else tag_weight(weights, value))
+        elif has_content:
+            unseen = WORD_SCORE if content else -MAX_SCORE
+            scores.append(weights.get(context(block, content, True), unseen) * len(value.split()))
         else:
-            unseen = -MAX_SCORE if has_content and not content else WORD_SCORE
-            scores.append(weights.get(context(block, content, has_content), unseen) * len(value.split()))
+            scores.append(by_shape)
     a, b = best_region(scores)
     if b > a:
         # The region's edges are widened to the whole blocks they cut.

@@ -257,6 +257,27 @@ def test_furniture_inside_content(part, kept):
     assert text == "one two three four five\n\n" + ("x y z\n\n" if kept else "") + "six seven eight nine"
 
 
+LONG = "<p>" + "the long body of the post goes on for a while here " * 6 + "</p>"
+
+
+@pytest.mark.parametrize("trained", [False, True])
+@pytest.mark.parametrize("page", [
+    f"<body><div class=entry-content>{LONG}</div><article class=comment-body><p>Nice post, thanks for it.</p></article></body>",
+    f"<body><div>{LONG}</div><div class=related><article><p>Another story to read.</p></article></div></body>",
+    f"<body><div>{LONG}</div><article><p>Another story.</p></article></body>"])
+def test_a_long_body_outside_an_article_is_kept(page, trained):
+    text = html.main_text(page, html.learn_weights([PAGE] * 3) if trained else {})
+    assert "the long body of the post" in text and "Nice post" not in text
+
+
+@pytest.mark.parametrize("trained", [False, True])
+def test_unmarked_menus_are_cut(trained):
+    menu = "<div><ul>" + "".join(f"<li><a href=/{x}>{x}</a></li>" for x in ("Home", "News", "Contact")) + "</ul></div>"
+    page = f"<body>{menu}<div><h2>Title</h2>{LONG}{LONG}</div>{menu}</body>"
+    text = html.main_text(page, html.learn_weights([PAGE] * 3) if trained else {})
+    assert "the long body of the post" in text and "Home" not in text and "Contact" not in text
+
+
 def test_region_is_the_maximum():
     rng = random.Random(0)
     for _ in range(300):
