@@ -127,8 +127,11 @@ def line_decisions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # Texts of those lines, one scan; the documents are joined on their id, not line by line.
     asked = F.struct("h", "first", "same_head", "same_tail", "longer", "shorter_head", "shorter_tail")
     places = wanted.groupBy(F.col("first.id").alias("id"), F.col("first.th").alias("at_th")).agg(F.count(F.lit(1)).alias("lines"), F.collect_list(asked).alias("asked"))
-    found = named.join(written(places).filter("lines > 0"), "id").filter("th = at_th")
-    found = found.select("parts", F.explode_outer("asked").alias("a")).filter("a is not null")
+    places = written(places).filter("lines > 0")
+    found = named.join(places, "id").filter("th = at_th").select("parts", "asked")
+    # Null ids are equal here; they join by text, so that the others keep their runtime filter.
+    nulls = named.filter("id is null").join(places.filter("id is null").drop("id"), F.col("th") == F.col("at_th"))
+    found = found.unionByName(nulls.select("parts", "asked")).select("parts", F.explode_outer("asked").alias("a")).filter("a is not null")
     texts = written(found.select("a.*", F.get("parts", F.col("a.first.line_no")).alias("line")).dropDuplicates(["h"]))
 
     # Keys in which lines meet are few; the rest of the variants is done.

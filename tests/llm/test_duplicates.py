@@ -259,3 +259,9 @@ def test_lines_of_nothing(spark):
     assert lines.line_dedup(documents(spark, [])).count() == 0
     got = lines.line_dedup(documents(spark, [(1, "a line\na line"), (1, "a line\na line"), (None, "a line")])).collect()
     assert sorted((str(r.id), r.n_lines, r.n_equal) for r in got) in ([("1", 2, 1), ("None", 1, 1)], [("1", 2, 2), ("None", 1, 0)])
+
+
+def test_lines_near_a_line_of_a_null_id(spark):
+    line = "a line of more than twenty-four characters"
+    got = lines.line_dedup(documents(spark, [(None, line), (1, line + "s"), (2, line.replace("more", "mare"))])).collect()
+    assert sorted((str(r.id), r.n_lines, r.n_equal, r.n_near) for r in got) == [("1", 1, 0, 1), ("2", 1, 0, 1), ("None", 1, 0, 0)]
