@@ -10,8 +10,9 @@ their own length.
 
 Every document also sends one row without fingerprint through the join, so one scan and
 one small shuffle by document give the counts of all documents. The benchmark's
-fingerprints are broadcast while they are fewer than BROADCAST_ROWS (about 64 MB), and
-joined by shuffle beyond.
+fingerprints are broadcast while they are measured to take at most BROADCAST_BYTES, and
+joined by shuffle beyond. Ids of items are joined to the documents at the end, by the hash of
+the item's text. A text may have up to 2^26 words (places have 26 bits).
 
 Defined results: null and wordless texts have no words and no hits; an item without words
 has no window; equal items share a window and each counts in n_items; rows repeated with
@@ -32,7 +33,8 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, GRAM = 13, 5
 SPAN = WINDOW - GRAM + 1
 PLACE_BITS = 26
-BROADCAST_ROWS = 400_000
+#: The benchmark's fingerprints, and its ids, are broadcast when they are measured to take no more.
+BROADCAST_BYTES = 64 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -77,6 +79,14 @@ def fingerprints(df: DataFrame, short: list[int]) -> DataFrame:
     def gram(h: Column, i: Column, k: int) -> Column:
         return F.xxhash64(*[F.get(h, i + j) for j in range(k)])
 
+    def short_print(h: Column, k: int) -> Callable[[Column], Column]:
+        # A function of the place alone: a second parameter would be given the element's index.
+        def one(i: Column) -> Column:
+            whole = F.xxhash64(F.lit(k), gram(h, i, k))
+            return F.struct(whole.alias("key"), i.alias("pos"), i.alias("first"), F.array(whole).alias("ctx"), F.lit(k).alias("len"))
+
+        return one
+
     def picked(p: Column) -> Column:
         return F.array_distinct(F.transform(_steps(n - WINDOW), lambda j: F.array_min(F.slice(p, j + 1, SPAN))))
 
@@ -100,20 +110,15 @@ def fingerprints(df: DataFrame, short: list[int]) -> DataFrame:
         grams = F.transform(_steps(n - GRAM), lambda i: gram(h, i, GRAM))
         prints = let(grams, lambda g: let(windows(g), lambda w: long_prints(g, w)))
         for k in short:
-            def short_print(i: Column, k: int = k) -> Column:
-                whole = F.xxhash64(F.lit(k), gram(h, i, k))
-                return F.struct(whole.alias("key"), i.alias("pos"), i.alias("first"), F.array(whole).alias("ctx"), F.lit(k).alias("len"))
-
-            prints = F.concat(prints, F.transform(_steps(n - k), short_print))
+            prints = F.concat(prints, F.transform(_steps(n - k), short_print(h, k)))
         return prints
 
     return df.withColumn("prints", let(F.transform("_words", lambda x: F.xxhash64(x)), all_prints)).drop("_words", "text")
 
 
-def benchmark_prints(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[int]]:
-    """Fingerprints of the distinct item texts with the ids that have them, and the short lengths."""
-    items = benchmark.select(F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("item"))
-    items = items.groupBy("text").agg(F.collect_list("item").alias("items"))
+def benchmark_prints(benchmark: DataFrame, text_col: str) -> tuple[DataFrame, list[int]]:
+    """Fingerprints of the distinct item texts, named by the text's hash, and the short lengths."""
+    items = benchmark.select(F.col(text_col).alias("text"), F.xxhash64(text_of(text_col)).alias("item_text")).dropDuplicates(["item_text"])
     sizes = items.select(F.size(_trimmed(words_of("text"))).alias("n")).filter(f"n between 1 and {WINDOW - 1}").distinct()
     short = sorted(r["n"] for r in sizes.collect())  # at most 12 values
     # explode_outer: no filter on the array's size is derived and pushed below its computation.
@@ -121,16 +126,24 @@ def benchmark_prints(benchmark: DataFrame, id_col: str, text_col: str) -> tuple[
     # An item shorter than 13 words is one window of its own length, no other.
     prints = prints.filter(f"print.len = least(n, {WINDOW})")
     return written(prints.select(F.col("print.key").alias("item_key"), F.col("print.pos").alias("item_pos"), F.col("print.first").alias("item_first"),
-                                 F.col("print.ctx").alias("item_ctx"), F.col("print.len").alias("item_len"), "items")), short
+                                 F.col("print.ctx").alias("item_ctx"), F.col("print.len").alias("item_len"), "item_text")), short
+
+
+def bounded(df: DataFrame, bytes_of_row: Column) -> DataFrame:
+    """``df`` to be broadcast when all its rows are measured to take at most BROADCAST_BYTES."""
+    taken = df.agg(F.sum(bytes_of_row)).first()[0] or 0
+    return F.broadcast(df) if taken <= BROADCAST_BYTES else df
 
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """Per document: id, th (hash of the text), n_words, n_hit, items (sorted ids), contaminated."""
-    wanted, short = benchmark_prints(benchmark, item_col, item_text)
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+    wanted, short = benchmark_prints(benchmark, item_text)
+    wanted = bounded(wanted, F.size("item_ctx") * 8 + 64)
+    # A text may be repeated in any number of items: only its hash goes through the search.
+    names = benchmark.select(F.xxhash64(text_of(item_text)).alias("name_text"), F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"))
+    names = bounded(names, F.octet_length("item") + 48)
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("th"), F.col(text_col).alias("text"))
     seen = fingerprints(texts, short)
     kind = "struct<key:bigint,pos:int,first:int,ctx:array<bigint>,len:int>"
@@ -142,19 +155,26 @@ def contamination(
     shift = F.col("pos") - F.col("item_pos") + F.col("item_first") - F.col("first")
     starts = F.filter(
         F.transform("ctx", lambda w, i: F.when(w == F.get("item_ctx", i - shift), F.col("first") + i)), lambda s: s.isNotNull())
-    hits = joined.select("id", "th", "n", (F.col("key").isNull()).alias("itself"), "len", "items", F.when(F.col("key").isNotNull(), starts).alias("starts"))
+    hits = joined.select("id", "th", "n", (F.col("key").isNull()).alias("itself"), "len", "item_text", F.when(F.col("key").isNotNull(), starts).alias("starts"))
     hits = hits.filter("itself or size(starts) > 0")
     spans = F.transform("starts", lambda s: F.struct(s.alias("at"), (s + F.col("len")).alias("end")))
     per = hits.groupBy("id", "th", "n").agg(
         F.sum(F.col("itself").cast("int")).alias("copies"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(~F.col("itself"), spans))))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+        F.collect_set("item_text").alias("texts"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).cast("bigint").alias("hit"))
     covered = F.aggregate("spans", zero, lambda acc, s: F.struct(
         F.greatest(acc["end"], s["end"]).alias("end"),
         (acc["hit"] + F.greatest(F.lit(0), s["end"] - F.greatest(acc["end"], s["at"]))).cast("bigint").alias("hit")), lambda acc: acc["hit"])
     per = per.withColumn("n_hit", covered).withColumn("n_words", F.col("n").cast("bigint"))
     per = per.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")))
+    # Documents without items get a key of their own, which meets nothing and spreads them.
+    per = per.select("id", "th", "n_words", "n_hit", "contaminated", "copies", F.explode_outer("texts").alias("named"))
+    per = per.withColumn("name_key", F.coalesce("named", F.xxhash64("id", "th")))
+    per = per.join(names, (F.col("name_key") == F.col("name_text")) & F.col("named").isNotNull(), "left")
+    per = per.groupBy("id", "th").agg(
+        *[F.any_value(c).alias(c) for c in ("n_words", "n_hit", "contaminated", "copies")],
+        F.array_sort(F.array_distinct(F.collect_list("item"))).alias("items"))
     per = per.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
     return per.select("id", "th", "n_words", "n_hit", "items", "contaminated")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from catalogspark.llm import decontam, lines, neardup
 from catalogspark.llm.shingles import OnePermutation, shingle_sets
 
-from .fixtures import documents, edited, words
+from .fixtures import corpus, documents, edited, words
 
 
 def shingled(text):
@@ -199,6 +199,15 @@ def test_contamination_defined_results(spark):
     assert decontam.contamination(documents(spark, []), bench).count() == 0
 
 
+def test_registered_query_with_short_items(spark, tmp_path):
+    items = [(1, "solo"), (2, "one two three four five"), (3, " ".join(f"t{i}" for i in range(12))), (4, "solo"), (10, "solo")]
+    docs = [(1, "a solo b"), (2, "zero one two three four five six"), (3, " ".join(f"t{i}" for i in range(12))), (4, "one two three four"), (5, None)]
+    folder = corpus(spark, tmp_path, documents(spark, docs), benchmark=spark.createDataFrame(items, "item_id bigint, text string"))
+    got = {r.doc_id: r for r in decontam.op2_decontaminate(spark, folder).collect()}
+    assert {i: (r.n_words, r.n_hit, r.n_items) for i, r in got.items()} == {1: (3, 1, 3), 2: (7, 5, 1), 3: (12, 12, 1), 4: (4, 0, 0), 5: (0, 0, 0)}
+    assert got[1].items_sha256 == hashlib.sha256(b"1,10,4").hexdigest()
+
+
 def test_items_digest(spark, sf):
     r = decontam.op2_decontaminate(spark, sf).filter("n_items = 0").first()
     assert r.items_sha256 == hashlib.sha256(b"").hexdigest()
