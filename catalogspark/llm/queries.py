@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html, lines, mixing, neardup, pii, quality, shards, topk, toxicity, trie
+from . import decontam, html, lines, mixing, neardup, pii, quality, shards, tokenfiles, topk, toxicity, trie
 
 QUERIES = {
     "op1_personal_data": pii.op1_personal_data,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_extract_html": html.op9_extract_html,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_token_files": tokenfiles.op11_token_files,
     "op13_prefix_trie": trie.op13_prefix_trie,
 }
 
