@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, html, lines, mixing, neardup, pii, quality, shards, tokenfiles, topk, toxicity, trie
+from . import decontam, html, lines, mixing, neardup, negatives, pii, quality, shards, tokenfiles, topk, toxicity, trie
 
 QUERIES = {
     "op1_personal_data": pii.op1_personal_data,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_extract_html": html.op9_extract_html,
     "op10_toxicity": toxicity.op10_toxicity,
     "op11_token_files": tokenfiles.op11_token_files,
+    "op12_hard_negatives": negatives.op12_hard_negatives,
     "op13_prefix_trie": trie.op13_prefix_trie,
 }
 
@@ -24,5 +25,6 @@ ORACLES = {
     "op4_mix_sources": mixing.OP4_SQL,
     "op7_exact_top_k": topk.OP7_SQL,
     "op8_line_dedup": lines.OP8_SQL,
+    "op12_hard_negatives": negatives.OP12_SQL,
     "op13_prefix_trie": trie.OP13_SQL,
 }
