@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from catalogspark.functions import filetype, net
 from catalogspark.functions.ordered import first_per_key
 from catalogspark.functions.text import MIN_TOKEN_BYTES, SEPARATORS, STOP_WORDS
+from catalogspark.operators import grams
 from catalogspark.operators.catalog import first_sources, source_counts
 from catalogspark.operators.index import token_counts
 
@@ -123,14 +124,14 @@ def _narrowing(tree: dict, compat: bool) -> list[frozenset[str]] | None:
 
 
 def candidates(posting_rows: DataFrame, alternatives: list[frozenset[str]]) -> DataFrame:
-    """Files containing all tokens of at least one alternative."""
+    """Files containing all tokens of at least one alternative: (file_hash, found)."""
     wanted = sorted(frozenset().union(*alternatives))
     flags = posting_rows.filter(F.col("token").isin(*wanted)).groupBy("file_hash").agg(
         *[F.bool_or(F.col("token") == t).alias(f"t{i}") for i, t in enumerate(wanted)]
     )
     has = {t: F.col(f"t{i}") for i, t in enumerate(wanted)}
     any_set = [reduce(operator.and_, [has[t] for t in sorted(s)]) for s in alternatives]
-    return flags.filter(reduce(operator.or_, any_set)).select("file_hash")
+    return flags.select("file_hash", reduce(operator.or_, any_set).alias("found")).filter("found")
 
 
 def search(
@@ -145,27 +146,34 @@ def search(
     compat: bool = False,
     max_scan: int | None = None,
     short: bool = False,
+    gram_rows: DataFrame | None = None,
 ) -> DataFrame:
     """Files that answer the query, the first ``cap`` by hash.
 
     Whole tokens narrow the candidates, then the tree decides on the name; with
-    ``match='substring'``, or when no token narrows, the tree alone decides.
-    ``short`` answers nothing without a token and at most ten rows. ``max_scan``
+    ``match='substring'``, or when no token narrows, the tree alone decides. Then
+    ``gram_rows`` (see ``grams``) narrow the candidates, where a word of the query has
+    grams, so that names are not scanned. ``short`` answers nothing without a token and at most ten rows. ``max_scan``
     bounds the rows an unnarrowed query may look at, making its answer partial.
     Without ``source_rows`` every file is taken to have a source, as it has after
     eviction.
     """
     alternatives = _narrowing(tree, compat)
-    pool = file_rows
     if short:
         cap = min(cap, SHORT_CAP)
         if alternatives is None:
             return file_rows.limit(0)
+    decides = predicate(tree, F.lower("name"), F.col("size"))
+    found = None
     if alternatives is not None and match == "token":
-        pool = pool.join(candidates(posting_rows, alternatives), "file_hash", "left_semi")
-    elif max_scan is not None:
-        pool = pool.limit(max_scan)
-    hits = pool.filter(predicate(tree, F.lower("name"), F.col("size")))
+        found = candidates(posting_rows, alternatives)
+    elif gram_rows is not None:
+        found = grams.candidates(gram_rows, tree)
+    if found is not None:
+        # Bound to a column of the other side, the test is not moved below the join, to all names.
+        hits = file_rows.join(found, "file_hash").filter(F.when(F.col("found"), decides)).drop("found")
+    else:
+        hits = (file_rows if max_scan is None else file_rows.limit(max_scan)).filter(decides)
     if withheld is not None:
         hits = hits.join(withheld.select("file_hash"), "file_hash", "left_anti")
     if source_rows is not None:

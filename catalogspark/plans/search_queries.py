@@ -215,6 +215,44 @@ def c17(spark, sf):
     return _run_search(spark, sf, tree)
 
 
+@query("c3_gram_postings", """
+SELECT unnest(list_distinct(list_concat([substr(n, i, 2) FOR i IN range(1, length(n))],
+  [substr(n, i, 3) FOR i IN range(1, length(n) - 1)]))) AS gram, file_hash FROM (SELECT file_hash, lower(name) AS n FROM v_files)""")
+def c3_grams(spark, sf):
+    return b.gram_postings(spark, sf)
+
+
+def _run_gram_search(spark, sf, tree):
+    return _run_search(spark, sf, tree, match="substring", gram_rows=b.gram_postings(spark, sf))
+
+
+@query("c9_gram_search", """
+SELECT file_hash, name, size FROM v_served WHERE contains(n, 'ea') AND contains(n, 'r')
+  AND ((contains(n, 'ing') AND size > 1000000) OR (contains(n, 'mp') AND NOT contains(n, 'kg')))
+ORDER BY file_hash LIMIT 200""")
+def c9_grams(spark, sf):
+    """Parts of words, one of two characters, found by their grams."""
+    parts = {"or": [{"and": [{"meta": "ing"}, {"num": "size", "op": ">", "value": 1_000_000}]},
+                    {"not": [{"term": "MP"}, {"term": "kg"}]}]}
+    return _run_gram_search(spark, sf, {"and": [{"term": "ea R"}, parts]})
+
+
+@query("c16_gram_search", """
+SELECT file_hash, name, size FROM v_served WHERE contains(n, 'ge') AND contains(n, 'old')
+ORDER BY file_hash LIMIT 200""")
+def c16_grams(spark, sf):
+    return _run_gram_search(spark, sf, {"term": "ge old"})
+
+
+@query("c17_gram_search", """
+SELECT file_hash, name, size FROM v_served WHERE regexp_matches(n, '[.](jpg|mp3)$') AND size > 50000000
+ORDER BY file_hash LIMIT 200""")
+def c17_grams(spark, sf):
+    """No word at all: the extensions of a type have grams too."""
+    tree = {"and": [{"or": [{"type": "image"}, {"type": "audio"}]}, {"num": "size", "op": ">", "value": 50_000_000}]}
+    return _run_gram_search(spark, sf, tree)
+
+
 @query("c18_short_search", f"""
 SELECT file_hash, name, size FROM v_served WHERE {_has('red')} ORDER BY file_hash LIMIT 10""")
 def c18(spark, sf):
