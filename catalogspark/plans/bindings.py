@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from catalogspark.operators import catalog, enforce, grams, index, screen
+from catalogspark.operators import catalog, enforce, grams, index, screen, trees
 from catalogspark.operators.screen import Policy, Quantity, Rule, Words
 from catalogspark.operators.traffic import FloodLimits
 from catalogspark.plans.registry import view
@@ -190,6 +190,11 @@ def gram_postings(spark: SparkSession, sf: str) -> DataFrame:
     return grams.gram_postings(files(spark, sf))
 
 
+@_once(keep=True)
+def search_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return trees.search_keys(files(spark, sf))
+
+
 SQL_SEPARATORS = (
     r"""[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"""
     r"""_\-.,;()\[\]{}!?@#$%^&*+=/\\|<>"''`~]"""

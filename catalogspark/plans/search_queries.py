@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalogspark.functions import filetype, text
 from catalogspark.functions.ordered import first_per_key
-from catalogspark.operators import index, lookup, search
+from catalogspark.operators import index, lookup, search, trees
 from catalogspark.operators.screen import hash_only_verdict
 from catalogspark.plans import bindings as b
 from catalogspark.plans.registry import query, view
@@ -79,14 +79,13 @@ view("v_changes", f"""
 SELECT unnest({b.sql_tokens('name')}) AS token, file_hash, CASE WHEN complete THEN 'add' ELSE 'remove' END AS op,
   at_us, seq FROM v_offers""")
 view("v_last_changes", """
-SELECT token, file_hash, op FROM (SELECT *, row_number() OVER (PARTITION BY token, file_hash
-  ORDER BY at_us DESC, seq DESC, op DESC) AS rn FROM v_changes) WHERE rn = 1""")
+SELECT token, file_hash, arg_max(op, (at_us, seq, op)) AS op FROM v_changes GROUP BY token, file_hash""")
 
 
 @query("c4_index_delta", """
-SELECT token, file_hash FROM v_postings p WHERE NOT EXISTS (
-  SELECT 1 FROM v_last_changes c WHERE c.token = p.token AND c.file_hash = p.file_hash)
-UNION ALL SELECT token, file_hash FROM v_last_changes WHERE op = 'add'""")
+SELECT token, file_hash FROM (SELECT token, file_hash, max(op) AS op FROM (
+  SELECT token, file_hash, op FROM v_last_changes UNION ALL SELECT token, file_hash, '' FROM v_postings) GROUP BY token, file_hash)
+WHERE op <> 'remove'""")
 def c4(spark, sf):
     offers = b.offers(spark, sf)
     changes = offers.select(
@@ -287,6 +286,46 @@ def c19(spark, sf):
     return batch_results(spark, sf, 20)
 
 
+view("v_tree_queries", """
+SELECT DISTINCT p_partkey % 6 AS kind, split_part(p_name, ' ', 1) AS w1, split_part(p_name, ' ', 2) AS w2,
+  CASE WHEN p_partkey % 6 IN (2, 4) THEN CAST(p_size AS BIGINT) * p_size * 65536 ELSE 0 END AS v FROM part""")
+view("v_file_words", "SELECT file_hash, list(token) AS words FROM v_postings GROUP BY file_hash")
+view("v_tree_hits", """
+SELECT q.kind, q.w1, q.w2, q.v, s.file_hash, s.name, s.size FROM v_tree_queries q
+JOIN (SELECT v_served.*, regexp_extract(n, '[^.]*$') AS ext, words FROM v_served LEFT JOIN v_file_words USING (file_hash)) s ON CASE q.kind
+  WHEN 0 THEN contains(n, w1) AND contains(n, w2) AND list_has_all(words, [w1, w2])
+  WHEN 1 THEN (contains(n, w1) OR (contains(n, w2) AND ext = 'mp3')) AND list_has_any(words, [w1, w2])
+  WHEN 2 THEN contains(n, w1) AND contains(n, w2) AND list_has_all(words, [w1, w2]) AND NOT size < v
+  WHEN 3 THEN (contains(n, w1) OR contains(n, w2)) AND ext = 'mkv'
+  WHEN 4 THEN ext = 'jpg' AND size >= v
+  ELSE NOT contains(n, w1) END""")
+
+
+@query("c19_batch_trees", """
+SELECT concat_ws(' ', kind, w1, w2, v) AS query_id, CAST(rank AS INTEGER) AS rank, file_hash, name, size FROM (
+  SELECT *, row_number() OVER (PARTITION BY kind, w1, w2, v ORDER BY file_hash) AS rank FROM v_tree_hits) WHERE rank <= 20""")
+def c19_trees(spark, sf):
+    """Six kinds of boolean trees over the words and sizes of parts: with and without indexable words."""
+    part = b.table(spark, sf, "part")
+    kind, word = F.col("p_partkey") % 6, lambda i: F.split_part("p_name", F.lit(" "), F.lit(i))
+    size = F.when(kind.isin(2, 4), F.col("p_size").cast("bigint") * F.col("p_size") * 65536).otherwise(F.lit(0).cast("bigint"))
+    asked = part.select(kind.alias("kind"), word(1).alias("w1"), word(2).alias("w2"), size.alias("v")).distinct()
+    one, two, v = {"term": F.col("w1")}, {"term": F.col("w2")}, F.col("v")
+    by_kind = [
+        {"and": [one, two]},
+        {"or": [one, {"and": [two, {"type": "Audio"}]}]},
+        {"not": [{"term": F.concat_ws(" ", F.upper("w1"), "w2")}, {"num": "size", "op": "<", "value": v}]},
+        {"and": [{"or": [one, {"meta": F.col("w2")}]}, {"format": "MKV"}]},
+        {"and": [{"type": "image"}, {"num": "FileSize", "op": ">=", "value": v}]},
+        {"not": [{"num": "bitrate", "op": ">", "value": 320}, one]},
+    ]
+    nodes = F.get(F.array(*map(trees.postfix, by_kind)), F.col("kind").cast("int"))
+    asked = asked.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in ("kind", "w1", "w2", "v")]).alias("query_id"), nodes.alias("nodes"))
+    sources = b.sources(spark, sf).join(b.departed(spark, sf), "user_hash", "left_anti")
+    return trees.batch_trees(
+        b.files(spark, sf), b.search_keys(spark, sf), asked, withheld=b.withheld(spark, sf), source_rows=sources, cap=20)
+
+
 @query("c20_result_projection", f"""
 SELECT h.file_hash, coalesce(ip, 0) AS source_ip, coalesce(port, 0) AS source_port, name,
   size % 4294967296 AS size_low, size // 4294967296 AS size_high, c.sources, c.sources AS complete_sources,
