@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from catalogspark.functions import text
+from catalogspark.functions.ordered import running
+from catalogspark.operators import terms as term_lists
 
 # Layer -> (counts against the publisher, counter key, total key).
 LAYERS = {
@@ -18,6 +20,9 @@ LAYERS = {
 }
 
 
+MOJIBAKE = " (mojibake)"
+
+
 @dataclass(frozen=True)
 class Words:
     """A word list split by how its entries are bounded."""
@@ -72,11 +77,14 @@ class Rule:
 
 @dataclass(frozen=True)
 class Policy:
-    """Operator lists of one policy version. Hash lists are tables, since they may be large."""
+    """Operator lists of one policy version. Hash lists are tables, since they may be large.
+
+    A term list is given in Python while it is short, else as a table (ord, term).
+    """
 
     hashes: DataFrame | None = None  # file_hash, list ('allow' | 'ban' | 'poison')
-    terms: tuple[str, ...] = ()
-    extra_terms: tuple[str, ...] = ()
+    terms: tuple[str, ...] | DataFrame = ()
+    extra_terms: tuple[str, ...] | DataFrame = ()
     rule: Rule | None = None
     public: bool = False
 
@@ -168,6 +176,27 @@ def rule_reason(lowered: Column, rule: Rule | None) -> Column:
     return out
 
 
+def name_forms(rows: DataFrame, name: Column) -> DataFrame:
+    """Add ``__lower`` and ``__fixed``: the lowered name, and the lowered repaired one where it was doubly encoded."""
+    once = F.col("__once")
+    return rows.withColumns({"__lower": F.lower(name), "__once": text.repair_round(name)}).withColumns(
+        {"__fixed": F.lower(F.coalesce(text.repair_round(once), once))}
+    ).drop("__once")
+
+
+def _with_list_matches(steps: DataFrame, lists: dict[str, DataFrame]) -> DataFrame:
+    """Add ``__lower_L1`` and the like: first entries of lists that are tables, by joins on the distinct texts."""
+    texts = steps.select(F.explode(F.array("__lower", "__fixed")).alias("text")).filter("text is not null").distinct()
+    found = None
+    for layer, entries in lists.items():
+        hits = term_lists.first_terms(texts, entries).select("text", F.col("term").alias(layer))
+        found = hits if found is None else found.join(hits, "text", "full")
+    for source in ("__lower", "__fixed"):
+        named = found.select(F.col("text").alias(source), *[F.col(layer).alias(f"{source}_{layer}") for layer in lists])
+        steps = steps.join(named, source, "left")
+    return steps
+
+
 def with_name_verdict(rows: DataFrame, policy: Policy, *, when: Column | None = None) -> DataFrame:
     """Add ``verdict``, struct(layer, reason) of the text layers or null, to rows with a name.
 
@@ -175,22 +204,24 @@ def with_name_verdict(rows: DataFrame, policy: Policy, *, when: Column | None =
     Every step is a column of its own, so no pattern is evaluated twice; rows
     outside ``when`` carry nulls through all of them.
     """
-    terms, extra = list(policy.terms), list(policy.extra_terms)
-    name = F.col("name") if when is None else F.when(when, F.col("name"))
-    once = F.col("__once")
-    steps = rows.withColumns({"__lower": F.lower(name), "__once": text.repair_round(name)}).withColumns(
-        {"__fixed": F.lower(F.coalesce(text.repair_round(once), once))}
-    )
-    layer_reason = {
-        "L1": lambda lowered: text.first_matching_term(lowered, terms),
-        "L2": lambda lowered: rule_reason(lowered, policy.rule),
-        "L4": lambda lowered: text.first_matching_term(lowered, extra),
-    }
+    lists = {"L1": policy.terms, "L4": policy.extra_terms}
+    tables = {layer: entries for layer, entries in lists.items() if isinstance(entries, DataFrame)}
+    steps = name_forms(rows, F.col("name") if when is None else F.when(when, F.col("name")))
+    if tables:
+        steps = _with_list_matches(steps, tables)
+
+    def reason(layer: str, source: str) -> Column:
+        if layer == "L2":
+            return rule_reason(F.col(source), policy.rule)
+        if layer in tables:
+            return F.col(f"{source}_{layer}")
+        return text.first_matching_term(F.col(source), list(lists[layer]))
+
     columns, reasons = {}, []
-    for source, suffix, layers in (("__fixed", " (mojibake)", "L1 L4 L2"), ("__lower", "", "L1 L2 L4")):
+    for source, suffix, layers in (("__fixed", MOJIBAKE, "L1 L4 L2"), ("__lower", "", "L1 L2 L4")):
         for layer in layers.split():
-            reason = layer_reason[layer](F.col(source))
-            columns[f"{source}_{layer}"] = F.concat(reason, F.lit(suffix)) if suffix else reason
+            found = reason(layer, source)
+            columns[f"{source}_{layer}"] = F.concat(found, F.lit(suffix)) if suffix else found
             reasons.append((layer, F.col(f"{source}_{layer}")))
     steps = steps.withColumns(columns)
     verdict = F.coalesce(
@@ -282,6 +313,61 @@ def rescreen(screened: DataFrame, after: Policy) -> DataFrame:
     return new.filter(changed)
 
 
+def list_changes(spark, before: tuple[str, ...] | DataFrame, after: tuple[str, ...] | DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ord, term) of the entries to test anew, and the terms that are gone.
+
+    An entry that moved ahead of one it used to follow may now come first, so it is tested anew.
+    """
+    old, new = [e if isinstance(e, DataFrame) else term_lists.term_table(spark, e) for e in (before, after)]
+    old, new = [e.filter("term <> ''").groupBy("term").agg(F.min("ord").alias("ord")) for e in (old, new)]
+    gone = old.join(new, "term", "left_anti").select("term")
+    both = new.join(old.withColumnRenamed("ord", "old_ord"), "term").withColumns({"one": F.lit(1), "chunk": F.floor(F.col("old_ord") / 4096)})
+    passed = running(both, keys=["one"], chunk="chunk", order=["old_ord"], aggs={"furthest": ("max", F.col("ord"))})
+    moved = passed.filter(F.col("furthest") > F.col("ord")).select("ord", "term")
+    return new.join(old, "term", "left_anti").select("ord", "term").unionByName(moved), gone
+
+
+def name_runs(file_rows: DataFrame) -> DataFrame:
+    """(run, file_hash): runs of one to three characters of each name, lowered and as repaired. Kept, it serves every list change."""
+    each = [F.transform(term_lists.runs(F.col(form), n), lambda r: r["run"]) for form in ("__lower", "__fixed") for n in range(1, term_lists.ANCHOR + 1)]
+    cut = F.array_distinct(F.concat(*[F.coalesce(e, F.array().cast("array<string>")) for e in each]))
+    return name_forms(file_rows, F.col("name")).select(F.explode(cut).alias("run"), "file_hash")
+
+
+def rescreen_changes(screened: DataFrame, before: Policy, after: Policy, runs: DataFrame | None = None) -> DataFrame:
+    """As ``rescreen``, reading only what the change of lists can concern.
+
+    These are files whose hash was listed or unlisted, files whose verdict names an entry that
+    is gone, and files whose name may hold an entry that is new. The latter are found by
+    the entries' rarest runs in ``runs`` (``name_runs``, else made on the way). Every other
+    verdict stands: what decided it is still listed, and nothing new speaks before it. Only a
+    changed rule concerns all names.
+    """
+    if before.rule != after.rule:
+        return rescreen(screened, after)
+    spark = screened.sparkSession
+    runs = name_runs(screened) if runs is None else runs
+    concerned = []
+    if before.hashes is not after.hashes:
+        none = spark.createDataFrame([], "file_hash string, list string")
+        old, new = [none if p.hashes is None else p.hashes.select("file_hash", "list") for p in (before, after)]
+        concerned += [old.join(new, ["file_hash", "list"], "left_anti").select("file_hash"), new.join(old, ["file_hash", "list"], "left_anti").select("file_hash")]
+    for layer, was, now in (("L1", before.terms, after.terms), ("L4", before.extra_terms, after.extra_terms)):
+        if was is now or (isinstance(was, tuple) and was == now):
+            continue
+        fresh, gone = list_changes(spark, was, now)
+        anchors = term_lists.anchors(term_lists.entries(fresh), runs)
+        concerned.append(runs.join(anchors.select("run").distinct(), "run", "left_semi").select("file_hash"))
+        named = screened.filter(F.col("layer") == layer).select("file_hash", F.regexp_replace("reason", r" \(mojibake\)\z", "").alias("term"))
+        concerned.append(named.join(gone, "term", "left_semi").select("file_hash"))
+    if not concerned:
+        return rescreen(screened.limit(0), after)
+    hashes = concerned[0]
+    for more in concerned[1:]:
+        hashes = hashes.unionByName(more)
+    return rescreen(screened.join(hashes.distinct(), "file_hash", "left_semi"), after)
+
+
 def audit_name(name: Column) -> Column:
     """Fingerprint that stands in for a name in audit output."""
     return F.sha2(name, 256)

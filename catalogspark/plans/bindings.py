@@ -384,6 +384,11 @@ def screened_files(spark: SparkSession, sf: str) -> DataFrame:
     return screen.screen(files(spark, sf), policy(spark, sf))
 
 
+@_once(keep=True)
+def name_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return screen.name_runs(files(spark, sf))
+
+
 @_once(keep=False)
 def withheld(spark: SparkSession, sf: str) -> DataFrame:
     return screened_files(spark, sf).filter(F.col("layer").isNotNull()).select("file_hash")

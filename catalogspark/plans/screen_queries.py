@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from catalogspark.functions import text
-from catalogspark.operators import enforce, screen
+from catalogspark.operators import enforce, screen, terms
 from catalogspark.operators.screen import Quantity, Words
 from catalogspark.plans import bindings as b
 from catalogspark.plans.registry import query, view
@@ -51,6 +51,32 @@ def e2_documents(spark, sf):
     )
 
 
+view("v_vendor_terms", """
+SELECT min(p_partkey) AS ord, term FROM (
+  SELECT p_partkey, concat(split_part(p_name, ' ', 2), CASE p_partkey % 3 WHEN 0 THEN '$' ELSE '' END) AS term FROM part WHERE p_partkey % 7 = 0
+  UNION ALL SELECT p_partkey, concat(p_size, 'kg') FROM part WHERE p_partkey % 11 = 0
+  UNION ALL SELECT p_partkey, concat(p_name, '.') FROM part WHERE p_partkey % 5 = 0
+  UNION ALL SELECT p_partkey, lower(p_brand) FROM part) WHERE p_partkey > 40 GROUP BY term""")
+
+
+@query("e2_term_table", r"""
+SELECT name, arg_min(term, ord) AS term FROM (SELECT DISTINCT name, lower(name) AS n FROM v_offers) JOIN v_vendor_terms
+  ON contains(n, rtrim(term, '$')) AND regexp_matches(n, concat('(^|[^a-z])', regexp_escape(rtrim(term, '$')),
+    CASE WHEN term LIKE '%$' THEN '($|[^a-z0-9_])' WHEN length(term) < 6 AND NOT term LIKE '%.' THEN '($|[^a-z])' ELSE '' END))
+GROUP BY name""")
+def e2_table(spark, sf):
+    """A list of one entry and more per part, as a table."""
+    part, key = b.table(spark, sf, "part").filter("p_partkey > 40"), F.col("p_partkey")
+    word = F.split_part("p_name", F.lit(" "), F.lit(2))
+    listed = F.array_compact(F.array(
+        F.when(key % 7 == 0, F.concat(word, F.when(key % 3 == 0, "$").otherwise(""))),
+        F.when(key % 11 == 0, F.concat(F.col("p_size").cast("string"), F.lit("kg"))),
+        F.when(key % 5 == 0, F.concat("p_name", F.lit("."))), F.lower("p_brand")))
+    names = _names(spark, sf).withColumn("n", F.lower("name"))
+    found = terms.first_terms(names, part.select(key.alias("ord"), F.explode(listed).alias("term")), text_col="n")
+    return names.join(found, F.col("n") == F.col("text")).select("name", "term")
+
+
 @query("e3_repair", r"""
 SELECT doc_id, CASE WHEN regexp_matches(text, '[^\x00-\x7F]') THEN md5(text) END AS repaired FROM documents""")
 def e3(spark, sf):
@@ -173,6 +199,24 @@ def e12(spark, sf):
     return screen.rescreen(b.screened_files(spark, sf).drop("size", "last_seen"), after)
 
 
+@query("e12_list_changes", """
+SELECT file_hash, name, old_layer, old_reason, layer, reason FROM v_next_verdict
+WHERE layer IS DISTINCT FROM old_layer OR reason IS DISTINCT FROM old_reason""")
+def e12_changes(spark, sf):
+    """The same change, applied to the files that it concerns."""
+    current = b.policy(spark, sf)
+    after = replace(current, hashes=current.hashes.filter(F.col("list") != "allow"), terms=NEXT_TERMS)
+    return screen.rescreen_changes(b.screened_files(spark, sf).drop("size", "last_seen"), current, after, b.name_runs(spark, sf))
+
+
+@query("e4_term_tables", "SELECT file_hash, name, layer, reason FROM v_screened_files")
+def e4_tables(spark, sf):
+    """Screening with both term lists as tables."""
+    lists = b.policy(spark, sf)
+    as_tables = replace(lists, terms=terms.term_table(spark, lists.terms), extra_terms=terms.term_table(spark, lists.extra_terms))
+    return screen.screen(b.files(spark, sf), as_tables).select("file_hash", "name", "layer", "reason")
+
+
 @query("e13_audit_names", """
 SELECT sha256(name) AS name_sha256, layer, count(*) AS offers FROM v_screened_offers
 WHERE layer IS NOT NULL GROUP BY ALL""")

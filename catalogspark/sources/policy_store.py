@@ -12,23 +12,24 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalogspark.operators.screen import Policy, Rule
+from catalogspark.operators.terms import term_table
 
-# Terms become one pattern on the driver; operator term files are far smaller.
-MAX_TERMS = 20_000
+#: Up to so many entries a list goes into the plan as one pattern, a longer one stays a table; the verdicts are the same.
+INLINE_TERMS = 1_000
 
 log = logging.getLogger(__name__)
 
 
 def publish(
     spark: SparkSession, root: str, version: int, *, hashes: DataFrame,
-    terms: tuple[str, ...] = (), extra_terms: tuple[str, ...] = (),
+    terms: tuple[str, ...] | DataFrame = (), extra_terms: tuple[str, ...] | DataFrame = (),
 ) -> None:
-    """Write one version. ``hashes``: file_hash, list."""
+    """Write one version. ``hashes``: file_hash, list. Term lists of any length are tables (ord, term)."""
     hashes.select("file_hash", "list").write.mode("overwrite").parquet(f"{root}/hashes/version={version}")
-    rows = [("terms", i, t) for i, t in enumerate(terms)] + [("extra", i, t) for i, t in enumerate(extra_terms)]
-    spark.createDataFrame(rows, "list string, ord int, term string").write.mode("overwrite").parquet(
-        f"{root}/terms/version={version}"
-    )
+    tables = {"terms": terms, "extra": extra_terms}
+    tables = {name: t if isinstance(t, DataFrame) else term_table(spark, t) for name, t in tables.items()}
+    rows = [t.select(F.lit(name).alias("list"), F.col("ord").cast("bigint").alias("ord"), "term") for name, t in tables.items()]
+    rows[0].unionByName(rows[1]).write.mode("overwrite").parquet(f"{root}/terms/version={version}")
     spark.range(1).select(F.lit(version).alias("version")).write.mode("append").parquet(f"{root}/log")
 
 
@@ -39,13 +40,17 @@ def current_version(spark: SparkSession, root: str) -> int:
 def load(spark: SparkSession, root: str, *, rule: Rule | None = None, public: bool = False) -> Policy:
     """The newest complete version."""
     version = current_version(spark, root)
-    rows = spark.read.parquet(f"{root}/terms/version={version}").orderBy("list", "ord").head(MAX_TERMS + 1)
-    if len(rows) > MAX_TERMS:
-        raise ValueError(f"term lists hold more than {MAX_TERMS} entries")
+    rows = spark.read.parquet(f"{root}/terms/version={version}")
+
+    def entries(name: str) -> tuple[str, ...] | DataFrame:
+        listed = rows.filter(F.col("list") == name).select("ord", "term")
+        first = listed.orderBy("ord").head(INLINE_TERMS + 1)
+        return tuple(r["term"] for r in first) if len(first) <= INLINE_TERMS else listed
+
     return Policy(
         hashes=spark.read.parquet(f"{root}/hashes/version={version}"),
-        terms=tuple(r["term"] for r in rows if r["list"] == "terms"),
-        extra_terms=tuple(r["term"] for r in rows if r["list"] == "extra"),
+        terms=entries("terms"),
+        extra_terms=entries("extra"),
         rule=rule,
         public=public,
     )
