@@ -52,6 +52,13 @@ FURNITURE_WORDS = frozenset(
     "comment comments commentlist disqus respond replies reply share sharing social related recommended widget toolbar pagination pager login search "
     "complementary contentinfo dialog form".split())
 ARTICLE_WORDS = frozenset("comment comments reply replies respond related recommended promo promotion ad ads advert advertisement sponsored".split())
+HEADER_WORDS = frozenset("header masthead".split())
+PLACE_WORDS = frozenset(
+    "list lists box slot slots bar block blocks container wrapper wrap section area item items link links button buttons post posts articles stories inner "
+    "unit panel module zone top bottom left right site page global primary secondary main icons tools text content body row col column group thread "
+    "count title heading meta info desktop mobile fixed sticky floating native inline dfp google js the by user reader".split())
+TEXT_RAW = frozenset("script style textarea title noscript template iframe".split())
+LIST_ENDS = frozenset("ul ol dl table select tbody".split())
 P_CLOSERS = BLOCK - {"body", "html", "head"}
 TAG_SCORE, WORD_SCORE, FURNITURE_SCORE = -0.1, 1.0, 0.0
 MAX_SCORE = 3.0
@@ -62,43 +69,73 @@ PLAIN = frozenset("p br b i em strong span code h1 h2 h3 h4 h5 h6 blockquote pre
 TRUST = 2
 
 
-def furniture(name: str, tag: str) -> bool:
-    """Whether an element is page furniture by its name, class, id or role."""
+def marked_furniture(tag: str, words: frozenset[str], inside: bool) -> bool:
+    """Whether a class, id or role names furniture: alone, or joined only with words of place and shape.
+
+    ``related-posts`` and ``site-header`` do, ``related-work`` and ``search-enabled`` do not. Inside of content, a
+    header is that of the content.
+    """
+    for values in MARK.findall(tag) if "=" in tag else ():
+        for token in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", "".join(values)).lower().split():
+            parts = [x for x in re.split(r"[_-]+", token) if x]
+            named = [x for x in parts if x in words and not (inside and x in HEADER_WORDS)]
+            if named and all(x in words or x in PLACE_WORDS or x.isdigit() for x in parts):
+                return True
+    return False
+
+
+def furniture(name: str, tag: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is page furniture, and whether by its name alone."""
     if name in FURNITURE:
-        return True
+        return True, True
     if name in ("body", "html", "main"):
-        return False
+        return False, False
     # An article is furniture only as a comment or a teaser of something else.
-    words = ARTICLE_WORDS if name == "article" else FURNITURE_WORDS
-    for values in MARK.findall(tag) if "=" in tag else ():
-        before = ""
-        for word in re.split(r"[\s_-]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", "".join(values)).lower()):
-            if word in words and before not in ("has", "no", "with", "without"):
-                return True
-            before = word
-    return "hidden" in tag.lower() and HIDDEN.search(tag) is not None or "display" in tag.lower() and HIDDEN.search(tag) is not None
+    if marked_furniture(tag, ARTICLE_WORDS if name == "article" else FURNITURE_WORDS, inside):
+        return True, False
+    low = tag.lower()
+    return ("hidden" in low or "display" in low) and HIDDEN.search(tag) is not None, True
 
 
 def tokens(page: str) -> tuple[list[tuple], bool]:
     """The page as (kind, value, context, in furniture, in content), and whether it has content elements.
 
-    Kinds: ``text`` (value: raw text), ``block`` (a block boundary), ``tag`` (any other tag).
+    Kinds: ``text`` (value: raw text), ``block`` (a block boundary), ``tag`` (any other tag). Takes time linear in
+    the page: how often a name is open is counted, and the stack is searched from its top.
     """
-    out: list[tuple] = []
-    open_: list[tuple[str, bool, bool]] = []  # element, whether it is furniture, whether it counts as content
-    depth_furniture = depth_content = 0
-    has_content = False
+    out: list[list] = []  # kind, value, innermost block element
+    spans: list[list] = []  # element, from, to, furniture, by its name
+    open_: list[tuple[str, int]] = []  # element, its place in spans
+    blocks: list[str] = []
+    count: dict[str, int] = {}
+    content = 0
     at = 0
 
     def push(kind: str, value: str) -> None:
-        block = next((n for n, *_ in reversed(open_) if n in BLOCK), "")
-        out.append((kind, value, block, depth_furniture > 0, depth_content > 0))
-
-    def pop() -> None:
-        nonlocal depth_furniture, depth_content
-        _, bad, marks = open_.pop()
-        depth_furniture -= bad
-        depth_content -= marks
+        out.append([kind, value, blocks[-1] if blocks else ""])
+
+    def close(name: str, span: int) -> None:
+        nonlocal content
+        count[name] -= 1
+        content -= name in CONTENT
+        if name in BLOCK:
+            blocks.pop()
+        spans[span][2] = len(out)
+
+    def pop_through(spot: int) -> None:
+        while len(open_) > spot:
+            close(*open_.pop())
+
+    def above(names: frozenset | tuple, stop: frozenset) -> int:
+        """The topmost open element of these names that no element of ``stop`` covers, or -1."""
+        if not any(count.get(n) for n in names):
+            return -1
+        for i in range(len(open_) - 1, -1, -1):
+            if open_[i][0] in names:
+                return i
+            if open_[i][0] in stop:
+                return -1
+        return -1
 
     size = len(page)
     while at < size:
@@ -116,43 +153,72 @@ def tokens(page: str) -> tuple[list[tuple], bool]:
         if tag[1] == "/":
             if name in RAW:
                 continue
-            spots = [i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name]
-            if spots:
-                # An inline end tag does not close the blocks opened inside it.
-                if name in BLOCK or all(n not in BLOCK for n, *_ in open_[spots[0] + 1:]):
-                    while len(open_) > spots[0]:
-                        pop()
-                else:
-                    _, bad, _ = open_.pop(spots[0])
-                    depth_furniture -= bad
+            # An inline end tag does not close the blocks opened inside it.
+            spot = above((name,), frozenset() if name in BLOCK else BLOCK)
+            if spot >= 0:
+                pop_through(spot)
             push("block" if name in BLOCK else "tag", "/" + name)
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
-            at = end.end() if end else size
+            # Of these only text elements run on when they are left open.
+            if not (tag.endswith("/>") and name not in TEXT_RAW):
+                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+                at = end.end() if end else size if name in TEXT_RAW else at
             push("tag", name)
             continue
-        if name in P_CLOSERS and open_ and any(n == "p" for n, *_ in open_):
+        if name in P_CLOSERS:
             # A block start ends an open paragraph and whatever inline elements it holds.
-            spot = max(i for i, (n, *_) in enumerate(open_) if n == "p")
-            if all(n not in BLOCK for n, *_ in open_[spot + 1:]):
-                while len(open_) > spot:
-                    pop()
+            spot = above(("p",), BLOCK - {"p"})
+            if spot >= 0:
+                pop_through(spot)
         if name in ("li", "dt", "dd", "option", "tr"):
-            spot = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] in (name, "ul", "ol", "dl", "table", "select", "tbody")), -1)
-            if spot >= 0 and open_[spot][0] == name:
-                while len(open_) > spot:
-                    pop()
+            spot = above((name,), LIST_ENDS)
+            if spot >= 0:
+                pop_through(spot)
         push("block" if name in BLOCK else "tag", name)
         if name not in VOID and not tag.endswith("/>"):
-            bad = furniture(name, tag)
-            # A comment or a teaser, or what lies in furniture, marks no content.
-            marks = name in CONTENT and not bad and not depth_furniture
-            has_content = has_content or marks
-            open_.append((name, bad, marks))
-            depth_furniture += bad
-            depth_content += marks
-    return out, has_content
+            bad, by_name = furniture(name, tag, content > 0)
+            open_.append((name, len(spans)))
+            spans.append([name, len(out), size, bad, by_name])
+            count[name] = count.get(name, 0) + 1
+            content += name in CONTENT
+            if name in BLOCK:
+                blocks.append(name)
+    pop_through(0)
+    return placed(out, spans)
+
+
+def placed(out: list[list], spans: list[list]) -> tuple[list[tuple], bool]:
+    """The tokens with what lies in furniture and in content.
+
+    What only calls itself furniture, but holds half of the page's words or content that
+    is none, is a wrapper.
+    """
+    n = len(out)
+    words = np.concatenate([[0], np.cumsum([len(t[1].split()) if t[0] == "text" else 0 for t in out])]) if n else np.zeros(1, np.int64)
+    marks = np.zeros(n + 1, np.int64)
+    for name, a, _, bad, _ in spans:
+        marks[a] += name in CONTENT and not bad
+    marks = np.append(0, np.cumsum(marks))
+    deep = np.zeros(n + 1, np.int64)
+    for span in spans:
+        name, a, b, bad, by_name = span
+        if bad and not by_name and name != "article" and (2 * (words[b] - words[a]) >= words[-1] or marks[b + 1] > marks[a + 1]):
+            bad = span[3] = False
+        if bad:
+            deep[a] += 1
+            deep[b] -= 1
+    deep = np.cumsum(deep)
+    inside = np.zeros(n + 1, np.int64)
+    has_content = False
+    for name, a, b, bad, _ in spans:
+        # A comment or a teaser, or what lies in furniture, marks no content.
+        if name in CONTENT and not bad and not deep[a]:
+            has_content = True
+            inside[a] += 1
+            inside[b] -= 1
+    inside = np.cumsum(inside)
+    return [(k, v, block, bool(d), bool(c)) for (k, v, block), d, c in zip(out, deep.tolist(), inside.tolist())], has_content
 
 
 def context(block: str, content: bool, has_content: bool) -> str:
