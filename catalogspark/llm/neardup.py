@@ -11,10 +11,8 @@ their union. Steps, all distributed:
 3. Classes meet in buckets. A bucket emits a star: its hub, the member that meets most
    others over all buckets, against each other member. Pairs whose signatures agree
    enough are confirmed on the full sets, and components are formed. Buckets that then still hold several components are
-   *open*. They emit stars again with a hub drawn by hash, and so do all pairs of open
-   buckets that a class lies in: similar texts of different components share about ten
-   buckets, all of them open, hence some 45 such pairs, while texts at a similarity of one half share one.
-   This repeats until a round finds no link. Every star is linear in its bucket.
+   *open*. They emit stars once more with a hub drawn by hash. What is open after that is joined exactly, on the
+   rarest shingles of full sets (``finished``). Every star is linear in its bucket.
 4. Components take the smallest id by min-label propagation with pointer jumping.
 
 No bucket, class or component is collected in one task: minima and hubs are aggregates with
@@ -43,8 +41,8 @@ NOTHING = np.zeros(0, np.int64)
 #: Share of equal bins (four bits each) of two sets at the threshold, and the deviations
 #: below it at which a pair is not compared any more.
 AGREE, DEVIATIONS = 0.75 + 0.25 / 16, 5
-#: Slots of the frequency table that orders shingles (any order is exact), and bits by which components are told apart.
-SLOTS, BITS = 1 << 18, 16
+#: Slots of the frequency table that orders the shingles of what is open (any order is exact).
+SLOTS = 1 << 20
 
 
 def _set_key(shingles: np.ndarray) -> tuple[int, int]:
@@ -139,16 +137,23 @@ def may_agree() -> Column:
     return 128 - (differ[0] + differ[1]) >= 128 * AGREE - slack
 
 
-def stars(members: DataFrame, order: Column, sets: DataFrame) -> DataFrame:
+def agreeing(pairs: DataFrame, planes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures leave a chance; ``planes`` has cls, n, planes."""
+    one = planes.select(F.col("cls").alias("a"), "n", "planes")
+    two = planes.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("planes").alias("other"))
+    return pairs.join(one, "a").join(two, "b").filter(may_agree()).select("a", "b")
+
+
+def stars(members: DataFrame, order: Column, planes: DataFrame, sets: DataFrame) -> DataFrame:
     """Confirmed links between each bucket's hub, the largest by ``order``, and its other members.
 
-    ``members`` has bucket, cls, n, comp, planes; members of the hub's own component are not tested.
+    ``members`` has bucket, cls, n, comp; members of the hub's own component are not tested.
     """
-    hub = F.struct(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("planes").alias("other"))
+    hub = F.struct(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"))
     hubs = members.groupBy("bucket").agg(F.max_by(hub, order).alias("hub")).select("bucket", "hub.*")
     pairs = members.join(hubs, "bucket").filter(
-        (F.col("comp") != F.col("cb")) & (F.least("n", "nb") * SIMILAR[1] >= F.greatest("n", "nb") * SIMILAR[0]) & may_agree())
-    return confirmed(pairs.select(F.col("cls").alias("a"), "b").distinct(), sets)
+        (F.col("comp") != F.col("cb")) & (F.least("n", "nb") * SIMILAR[1] >= F.greatest("n", "nb") * SIMILAR[0]))
+    return confirmed(agreeing(pairs.select(F.col("cls").alias("a"), "b").distinct(), planes), sets)
 
 
 def frequencies(sets: DataFrame) -> np.ndarray:
@@ -169,61 +174,62 @@ def frequencies(sets: DataFrame) -> np.ndarray:
 
 
 def rarest(sets: DataFrame, frequency: np.ndarray) -> DataFrame:
-    """``n``, ``planes`` and the prefix ``rare`` for rows of (cls, comp, shingles), rarest shingles first.
+    """Rows (shingle, cls, comp, n, most) of the prefixes of (cls, comp, shingles), rarest shingles first.
 
-    The prefix is as long as the smallest similar set needs.
+    Two sets of n and m shingles are similar when they have (n + m) * 3 / 7 in common. So, if the
+    first one they share stands at place i of the set of n, the other set has at most ``most`` =
+    (n - i) * 7 / 3 - n shingles. The prefix ends where no similar set is that small.
     """
     id_type = sets.schema["cls"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        minhash = OnePermutation()
         for batch in batches:
-            n, planes, rare = [], [], []
+            parts, most, n = [], [], []
             for row in batch.column("shingles"):
                 s = row.values.to_numpy(zero_copy_only=False)
+                limit = (len(s) * SIMILAR[1] - np.arange(len(s)) * sum(SIMILAR)) // SIMILAR[0]
+                limit = limit[limit * SIMILAR[1] >= len(s) * SIMILAR[0]]
+                parts.append(s[np.lexsort((s, frequency[s & (SLOTS - 1)]))[:len(limit)]])
+                most.append(limit)
                 n.append(len(s))
-                planes.append(minhash.planes(minhash.signature(s.astype(np.uint64))))
-                smallest = -(-len(s) * SIMILAR[0] // SIMILAR[1])
-                common = -(-(len(s) + smallest) * SIMILAR[0] // sum(SIMILAR))
-                rare.append(s[np.lexsort((s, frequency[s & (SLOTS - 1)]))[:len(s) - common + 1]])
+            of = np.repeat(np.arange(len(n)), [len(p) for p in parts])
+            take = pa.array(of, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("cls"), batch.column("comp"), pa.array(n, pa.int64()), lists(planes), lists(rare)], names=["cls", "comp", "n", "planes", "rare"])
+                [pa.array(np.concatenate([NOTHING, *parts])), batch.column("cls").take(take), batch.column("comp").take(take),
+                 pa.array(np.array(n, np.int64)[of]), pa.array(np.concatenate([NOTHING, *most]))], names=["shingle", "cls", "comp", "n", "most"])
 
-    return sets.mapInArrow(run, f"cls {id_type}, comp {id_type}, n bigint, planes array<bigint>, rare array<bigint>")
+    return sets.mapInArrow(run, f"shingle bigint, cls {id_type}, comp {id_type}, n bigint, most bigint")
 
 
-def finished(left: DataFrame, sets: DataFrame) -> DataFrame:
+def finished(left: DataFrame, planes: DataFrame, sets: DataFrame) -> DataFrame:
     """All links between classes of different components among ``left`` (cls, comp).
 
-    Two sets of n and m shingles are similar when they have ``(n + m) * 3 / 7`` in common; then
-    their prefixes that leave out one less share a shingle. A shingle at place i of n
-    thus only counts for partners up to the size ``most``. Components that share a rare
-    shingle meet at the lowest bit in which their hashes differ, so members of one
-    component never do.
+    Classes meet at shared prefix shingles (``rarest``). Of a similar pair the smaller set has
+    the shingle at a place where ``most`` reaches its own size: it is *strong* there. A
+    shingle that many texts share, but that is among the rarest seventh of none, is strong in
+    none and makes no pair at all, so crowds that share a passage short of the threshold
+    cost their prefixes only. Sizes within 3 : 4 meet by class of size.
     """
     ends = sets.join(left.select("cls", "comp").distinct(), "cls").select("cls", "comp", "shingles")
-    ends = written(rarest(ends, frequencies(sets)))
-    rare = ends.select("cls", "comp", "n", F.posexplode("rare").alias("i", "shingle"))
-    met = rare.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("shingle")
-    most = F.expr(f"(n * {SIMILAR[1]} - i * {sum(SIMILAR)}) div {SIMILAR[0]}")
-    rare = written(rare.join(met, "shingle").select("shingle", "cls", "comp", "n", most.alias("most")))
-    # The last level holds components that agree in all bits; there everyone is on both sides.
-    h = F.xxhash64("comp")
-    levels = [F.struct(
-        F.xxhash64("shingle", F.lit(k), h.bitwiseAND(F.lit((1 << k) - 1))).alias("key"),
-        (F.shiftright(h, k).bitwiseAND(F.lit(1)).cast("int") if k < BITS else F.lit(side)).alias("side"))
-        for k in range(BITS + 1) for side in ((0, 1) if k == BITS else (0,))]
-    placed = rare.select("cls", "comp", "n", "most", F.explode(F.array(*levels)).alias("at")).select("cls", "comp", "n", "most", "at.*")
-    both = placed.groupBy("key").agg(
-        F.min(F.when(F.col("side") == 0, F.col("n"))).alias("n0"), F.min(F.when(F.col("side") == 1, F.col("n"))).alias("n1"),
-        F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("n0 is not null and n1 is not null and lo <> hi").select("key", "n0", "n1")
-    placed = written(placed.join(both, "key").filter("most >= if(side = 0, n1, n0)").select("key", "side", "cls", "comp", "n", "most"))
-    a = placed.filter("side = 0").select("key", F.col("cls").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("most").alias("ma"))
-    b = placed.filter("side = 1").select("key", F.col("cls").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("mb"))
-    pairs = a.join(b, "key").filter("nb <= ma and na <= mb and ca <> cb").select("a", "b").distinct()
-    one = ends.select(F.col("cls").alias("a"), "n", "planes")
-    two = ends.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("planes").alias("other"))
-    return confirmed(pairs.join(one, "a").join(two, "b").filter(may_agree()).select("a", "b").distinct(), sets)
+    ends = written(ends)
+    rare = rarest(ends, frequencies(ends)).withColumn("strong", F.col("most") >= F.col("n"))
+    met = rare.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("strong").alias("strongest")).filter("lo <> hi and strongest").select("shingle")
+    rare = written(rare.join(met, "shingle"))
+    size_class = F.floor(F.log("n") / np.log(SIMILAR[1] / SIMILAR[0])).cast("int")
+    small = rare.filter("strong").select("shingle", size_class.alias("class"), F.col("cls").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("most").alias("ma"))
+    large = rare.withColumn("class", F.explode(F.array(size_class - 1, size_class)))
+    large = large.select("shingle", "class", F.col("cls").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("most").alias("mb"))
+    pairs = small.join(large, ["shingle", "class"]).filter("ca <> cb and nb >= na and nb <= ma and na <= mb and (nb > na or a < b)")
+    return confirmed(agreeing(pairs.select("a", "b").distinct(), planes), sets)
+
+
+def one_id(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes of an id that has several texts."""
+    several = rows.filter("n_shingles > 0 and id is not null").groupBy("id").agg(
+        F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi")).filter("lo <> hi").select("id")
+    own = rows.join(several, "id").join(classes.select("h1", "h2", "n_shingles", "cls"), ["h1", "h2", "n_shingles"]).select("id", "cls").distinct()
+    first = own.groupBy("id").agg(F.min("cls").alias("b"))
+    return own.join(first, "id").filter("cls <> b").select(F.col("cls").alias("a"), "b")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
@@ -237,34 +243,28 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     buckets = classes.select("cls", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     met = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = written(buckets.join(met, "bucket"))
-    degree = members.groupBy("cls").agg(F.sum("size").alias("degree"))
-    degree = written(degree.join(classes.select("cls", "h1", "planes"), "cls"))
-    sets = texts.select(F.col("id").alias("cls"), "text").join(degree.filter("degree > 1").select("cls", "h1"), "cls").select("cls", "h1", "text")
+    degree = written(members.groupBy("cls").agg(F.sum("size").alias("degree")))
+    planes = written(degree.select("cls").join(classes.select("cls", F.col("n_shingles").alias("n"), "h1", "planes"), "cls"))
+    sets = texts.select(F.col("id").alias("cls"), "text").join(planes.select("cls", "h1"), "cls").select("cls", "h1", "text")
     sets = written(full_sets(sets, width).dropDuplicates(["cls", "h1"])).select("cls", "shingles")
-    members = written(members.select("bucket", "cls", "n").join(degree.select("cls", "degree", "planes"), "cls"))
 
     # Members that meet most others come first; they hold their group together.
-    found = written(stars(members.withColumn("comp", F.col("cls")), F.struct("degree", F.xxhash64("cls")), sets))
-    links, turn = found, 0
-    while True:
-        comps = components(links)
-        turn += 1
-        placed = members.join(comps.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    most = members.select("bucket", "cls", "n", F.col("cls").alias("comp")).join(degree, "cls")
+    links = written(stars(most, F.struct("degree", F.xxhash64("cls")), planes, sets).unionByName(one_id(rows, classes)))
+    comps = components(links)
+    # A star tests one hub of each bucket. Once more with another, then all pairs that are left.
+    for turn in range(2):
+        placed = members.select("bucket", "cls", "n").join(comps.withColumnRenamed("v", "cls"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         opened = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
-        left = written(placed.join(opened, "bucket").select("bucket", "cls", "n", "comp", "planes"))
-        if left.isEmpty():
-            break
-        # Similar texts of different components meet in several open buckets, others rarely do.
-        also = left.select("cls", F.col("bucket").alias("second"))
-        twice = left.join(also, "cls").filter("bucket < second").withColumn("bucket", F.xxhash64("bucket", "second")).drop("second")
-        found = written(stars(left.unionByName(twice), F.xxhash64("cls", "bucket", F.lit(turn)), sets))
-        if found.isEmpty():
-            # A star tests one hub of each bucket: the other pairs are still untested.
-            found = written(finished(left, sets))
-            if not found.isEmpty():
-                comps = components(links.union(found))
-            break
-        links = links.union(found)
+        left = written(placed.join(opened, "bucket"))
+        if turn == 0:
+            found = stars(left, F.xxhash64("cls", "bucket"), planes, sets)
+        else:
+            found = finished(left, planes, sets)
+        found = written(found)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            comps = components(links)
 
     named = classes.select("h1", "h2", "n_shingles", "cls").join(comps.withColumnRenamed("v", "cls"), "cls", "left")
     named = named.select("h1", "h2", "n_shingles", F.coalesce("comp", "cls").alias("comp"))
