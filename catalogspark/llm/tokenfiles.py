@@ -4,20 +4,20 @@ File format, all numbers little-endian:
 
     "PFR1"
     blocks, one for every 256 ids (the last is filled up with its minimum):
-        minimum u32, width u8, 0 u8, exceptions u16
+        minimum u32, width u8, bytes of an exception u8, exceptions u16
         256 offsets from the minimum, their low ``width`` bits packed
-        place u8 of each exception, then the bits above ``width`` of each, u32
+        place u8 of each exception, then the bits above ``width`` of each, in so many bytes
     start of each block u64            the block index
     document ids i64 (null ids first, as 0), then ids per document u64
     blocks u64, documents u64, documents with null id u64, ids u64, "PFR1"
 
-``width`` is the bit length of the block's 90th percentile offset (``PERCENTILE``), so a few
+``width`` is the bit length of the block's 85th percentile offset (``PERCENTILE``), so a few
 large ids do not widen a block; those that do not fit are its exceptions. The index gives
 any block in one step: ``read_ids`` reads a range of ids without the rest.
 
-Documents are encoded where they lie, with the id of the end of a text appended; only packed
-ids are then moved, once, into ranges of ascending document id, and every range is written as
-one file of about ``FILE_IDS`` ids, as a stream. Every attempt of a task writes a name of its own, and only the files named in
+Documents are moved once, into ranges of ascending document id of about ``FILE_BYTES`` of
+text. A task encodes its range, with the id of the end of a text appended, and writes it as one
+file, as a stream. Every attempt of a task writes a name of its own, and only the files named in
 the manifest, which Spark commits, belong to the result: a lost executor leaves no wrong
 file. Files go to any store that Arrow's file systems reach.
 
@@ -33,6 +33,7 @@ ordinary text. Extra columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import sys
 import types
@@ -52,12 +53,13 @@ from catalogspark.session import ensure_checkpoint_dir
 from .common import table, text_of, written
 
 BLOCK = 256
-PERCENTILE = 90
-FILE_IDS = 1 << 24
+PERCENTILE = 85
+FILE_BYTES = 1 << 26
 MAGIC = b"PFR1"
 END_ID = 2
-#: Texts are encoded together up to so many bytes, and distinct pieces are remembered up to so many.
-TOGETHER, REMEMBERED = 1 << 23, 1 << 21
+#: Texts are encoded together up to so many bytes, about so many distinct pieces are
+#: remembered in a task, and so many from task to task.
+TOGETHER, REMEMBERED, KEPT = 1 << 22, 1 << 19, 1 << 17
 #: Blanks between two words. No pattern of a byte-level tokenizer takes both the blank and what is before it.
 CUT = re.compile(r"(?<=\S)(?= \S)")
 NONE, BLANK = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
@@ -82,12 +84,14 @@ def packed_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
     high[width == 32] = 0
     outlier = high > 0
     many = outlier.sum(axis=1)
-    size = 8 + BLOCK // 8 * width + 5 * many
+    largest = high.max(axis=1)
+    wide = (largest > 0).astype(np.int64) + (largest >> 8 > 0) + (largest >> 16 > 0) + (largest >> 24 > 0)
+    size = 8 + BLOCK // 8 * width + (1 + wide) * many
     start = np.append(0, np.cumsum(size))
     out = np.zeros(start[-1], np.uint8)
     head = np.zeros((n, 8), np.uint8)
     head[:, :4] = low.astype("<u4")[:, None].view(np.uint8)
-    head[:, 4] = width
+    head[:, 4], head[:, 5] = width, wide
     head[:, 6:] = many.astype("<u2")[:, None].view(np.uint8)
     out[start[:-1, None] + np.arange(8)] = head
     for b in np.unique(width):
@@ -102,7 +106,9 @@ def packed_blocks(ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         first = start[block] + 8 + BLOCK // 8 * width[block]
         out[first + nth] = place
         values = high[block, place].astype("<u4")[:, None].view(np.uint8)
-        out[(first + many[block] + 4 * nth)[:, None] + np.arange(4)] = values
+        at = (first + many[block] + wide[block] * nth)[:, None] + np.arange(4)
+        used = np.arange(4) < wide[block][:, None]
+        out[at[used]] = values[used]
     return out.tobytes(), size
 
 
@@ -112,7 +118,7 @@ def unpacked_blocks(data: bytes, start: np.ndarray) -> np.ndarray:
     start = start.astype(np.int64)
     head = raw[start[:, None] + np.arange(8)]
     low = np.ascontiguousarray(head[:, :4]).view("<u4")[:, 0].astype(np.uint32)
-    width = head[:, 4].astype(np.int64)
+    width, wide = head[:, 4].astype(np.int64), head[:, 5].astype(np.int64)
     many = np.ascontiguousarray(head[:, 6:]).view("<u2")[:, 0].astype(np.int64)
     out = np.zeros((len(start), BLOCK), np.uint32)
     for b in np.unique(width):
@@ -121,15 +127,18 @@ def unpacked_blocks(data: bytes, start: np.ndarray) -> np.ndarray:
             body = raw[start[some][:, None] + 8 + np.arange(BLOCK // 8 * b)]
             bits = np.unpackbits(body, axis=1, bitorder="little").reshape(len(some), BLOCK, b)
             full = np.packbits(bits, axis=2, bitorder="little")
-            wide = np.zeros((len(some), BLOCK, 4), np.uint8)
-            wide[:, :, :full.shape[2]] = full
-            out[some] = wide.view("<u4")[:, :, 0]
+            padded = np.zeros((len(some), BLOCK, 4), np.uint8)
+            padded[:, :, :full.shape[2]] = full
+            out[some] = padded.view("<u4")[:, :, 0]
     block = np.repeat(np.arange(len(start)), many)
     if len(block):
         nth = np.arange(len(block)) - np.repeat(np.cumsum(many) - many, many)
         first = start[block] + 8 + BLOCK // 8 * width[block]
         place = raw[first + nth]
-        values = np.ascontiguousarray(raw[(first + many[block] + 4 * nth)[:, None] + np.arange(4)]).view("<u4")[:, 0]
+        used = np.arange(4) < wide[block][:, None]
+        parts = np.zeros(used.shape, np.uint8)
+        parts[used] = raw[((first + many[block] + wide[block] * nth)[:, None] + np.arange(4))[used]]
+        values = parts.view("<u4")[:, 0]
         out[block, place] |= values.astype(np.uint32) << width[block].astype(np.uint32)
     return (out + low[:, None]).reshape(-1)
 
@@ -231,11 +240,18 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
-        self.forget()
-
-    def forget(self) -> None:
         self.pieces = pa.array([], pa.large_string())
-        self.ids, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        self.ids, self.sizes, self.met = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def forget(self, most: int) -> None:
+        """Drop the pieces that were met once only, and the rarest of the others where they are too many."""
+        often = np.flatnonzero(self.met > 1)
+        if len(often) > most:
+            often = np.sort(often[np.argsort(-self.met[often], kind="stable")[:most]])
+        first = (np.cumsum(self.sizes) - self.sizes)[often]
+        self.ids, self.sizes = self.ids[segments(first, self.sizes[often])], self.sizes[often]
+        self.pieces, self.met = self.pieces.take(pa.array(often)), np.ones(len(often), np.int64)
+        pa.default_memory_pool().release_unused()
 
     def numbers(self, pieces: pa.Array) -> np.ndarray:
         """The number of each piece; new ones are encoded."""
@@ -249,10 +265,13 @@ class Encoder:
             ids: list[list[int]] = []
             for k in range(0, len(fresh), 1 << 14):  # an encoding takes far more memory than its ids
                 ids += [e.ids for e in self.tokenizer.encode_batch_fast(fresh.slice(k, 1 << 14).to_pylist(), add_special_tokens=False)]
-            self.ids = np.append(self.ids, np.fromiter((i for x in ids for i in x), np.uint32))
+            self.ids = np.append(self.ids, np.fromiter(itertools.chain.from_iterable(ids), np.uint32))
             self.sizes = np.append(self.sizes, np.fromiter(map(len, ids), np.int64, len(ids)))
             self.pieces = pa.concat_arrays([self.pieces, fresh])
-        return at[coded.indices.to_numpy()]
+            self.met = np.append(self.met, np.zeros(len(fresh), np.int64))
+        numbers = at[coded.indices.to_numpy()]
+        self.met += np.bincount(numbers, minlength=len(self.pieces))
+        return numbers
 
     def cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Piece numbers, how many pieces each text has, and which text comes at which place."""
@@ -272,7 +291,7 @@ class Encoder:
     def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids per text and all ids, each text followed by the end id."""
         if len(self.pieces) > REMEMBERED:
-            self.forget()
+            self.forget(REMEMBERED // 2)
         codes, many, order = self.cut(texts.cast(pa.large_string()))
         n = self.sizes[codes]
         ids = self.ids[segments((np.cumsum(self.sizes) - self.sizes)[codes], n)]
@@ -298,46 +317,28 @@ def encoder_of(tokenizer_json: str) -> Encoder:
     return kept[name]
 
 
-def encoded(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID) -> DataFrame:
-    """(id, th, n, ids): id, hash of the text, number of ids, and the ids as 16- or 32-bit numbers."""
-    with open(tokenizer_path, encoding="utf-8") as f:
-        vocabulary = f.read()  # a bounded file; tasks get it with the job
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text_of(text_col)).alias("th"), text_of(text_col).alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(shared.value)
-        for batch in batches:
-            size = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero(np.diff(np.cumsum(size) // TOGETHER)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(batch)]):
-                if a == b:
-                    continue
-                n, ids = encoder.encode(batch.column("text").slice(a, b - a), end_id)
-                ends = np.cumsum(n)
-                narrow = not len(ids) or ids.max() < 1 << 16
-                ids = ids.astype("<u2" if narrow else "<u4")
-                bodies = pa.array([ids[e - k:e].tobytes() for e, k in zip(ends.tolist(), n.tolist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), batch.column("th").slice(a, b - a), pa.array(n, pa.int64()), bodies], names=["id", "th", "n", "ids"])
-
-    return texts.mapInArrow(run, "id bigint, th bigint, n bigint, ids binary")
-
-
-def token_files(docs: DataFrame, tokenizer_path: str, *, folder: str | None = None, file_ids: int = FILE_IDS, **options) -> DataFrame:
+def token_files(
+    docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID,
+    folder: str | None = None, file_bytes: int = FILE_BYTES,
+) -> DataFrame:
     """Write token files in ascending document id; returns the manifest: path, n_docs, n_ids, base (ids before the file)."""
     spark = docs.sparkSession
     if folder is None:
         ensure_checkpoint_dir(spark)
         folder = spark.sparkContext.getCheckpointDir()
     folder = f"{folder}/tokens-{uuid.uuid4().hex}"
-    # Numbered once it is fixed in files; copies with one id then lie in several ranges.
-    rows = written(encoded(docs, tokenizer_path, **options).withColumn("seq", F.monotonically_increasing_id()))
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    ranged = rows.repartitionByRange(max(1, -(-total // file_ids)), F.col("id").asc_nulls_first(), "th", "seq")
-    ranged = ranged.sortWithinPartitions(F.col("id").asc_nulls_first(), "th", "seq")
+    with open(tokenizer_path, encoding="utf-8") as f:
+        vocabulary = spark.sparkContext.broadcast(f.read())  # a bounded file; executors need no copy of their own
+    text = text_of(text_col)
+    # Numbered, so that rows with one id and text lie in several ranges where they are many.
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.xxhash64(text).alias("th"), text.alias("text"), F.monotonically_increasing_id().alias("seq"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    order = [F.col("id").asc_nulls_first(), F.col("th"), F.col("seq")]
+    ranged = rows.repartitionByRange(max(1, -(-total // file_bytes)), *order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, path, first, docs_ = None, "", None, 0
+        writer, path, first, n_docs = None, "", None, 0
+        encoder = encoder_of(vocabulary.value)
         for batch in batches:
             if not len(batch):
                 continue
@@ -346,19 +347,22 @@ def token_files(docs: DataFrame, tokenizer_path: str, *, folder: str | None = No
                 store, name = fs.FileSystem.from_uri(path)
                 store.create_dir(name.rpartition("/")[0])
                 writer = TokenWriter(store.open_output_stream(name))
-                first = [batch.column(c)[0].as_py() for c in ("id", "th", "seq")]
-            n = batch.column("n").to_numpy()
-            parts = [np.frombuffer(x.as_buffer(), "<u2" if len(x.as_buffer()) == 2 * k else "<u4") for x, k in zip(batch.column("ids"), n.tolist())]
-            writer.add(batch.column("id").to_pylist(), n, np.concatenate(parts).astype(np.uint32))
-            docs_ += len(batch)
+                first = {c: batch.column(c)[0].as_py() for c in ("id", "th", "seq")}
+            size = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero(np.diff(np.cumsum(size, dtype=np.int64) // TOGETHER)) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)]):
+                n, ids = encoder.encode(batch.column("text").slice(a, b - a), end_id)
+                writer.add(batch.column("id").slice(a, b - a).to_pylist(), n, ids)
+            n_docs += len(batch)
+        encoder.forget(KEPT)
         if writer is not None:
             writer.close()
-            yield pa.RecordBatch.from_pylist([{"id": first[0], "th": first[1], "seq": first[2], "path": path, "n_docs": docs_, "n_ids": writer.total}], schema)
+            yield pa.RecordBatch.from_pylist([{**first, "path": path, "n_docs": n_docs, "n_ids": writer.total}], schema)
 
     schema = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("seq", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
     files = written(ranged.mapInArrow(run, "id bigint, th bigint, seq bigint, path string, n_docs bigint, n_ids bigint"))
     # One row a file.
-    earlier = Window.orderBy(F.col("id").asc_nulls_first(), "th", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return files.select("path", "n_docs", "n_ids", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0)).alias("base"))
 
 

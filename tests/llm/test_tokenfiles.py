@@ -49,7 +49,7 @@ def test_width_follows_the_percentile():
     ids = np.arange(t.BLOCK, dtype=np.uint32) % 16
     ids[:20] = 40_000
     data, sizes = t.packed_blocks(ids)
-    assert data[4] == 4 and sizes[0] == 8 + 32 * 4 + 5 * 20
+    assert data[4] == 4 and data[5] == 2 and sizes[0] == 8 + 32 * 4 + 3 * 20
 
 
 @pytest.mark.parametrize("lengths", [[0, 1, 255, 256, 257, 0, 5000], [], [0, 0], [3]])
@@ -118,14 +118,14 @@ def test_files_of_a_table(spark, plain):
     df = documents(spark, rows).repartition(7)
     for c in ("id", "th", "n", "ids", "seq", "path"):
         df = df.withColumn(c, F.lit("x"))
-    manifest = t.token_files(df, PATH, file_ids=20_000)
+    manifest = t.token_files(df, PATH, file_bytes=80_000)
     assert manifest.count() > 3
     assert in_order(t.documents_of(manifest)) == expected(sorted(rows), plain)
 
 
 def test_repeated_rows_and_null_ids(spark, plain):
     rows = [(None, "b"), (None, "a"), (3, "same"), (3, "same"), (3, "other"), (1, "x")]
-    got = in_order(t.documents_of(t.token_files(documents(spark, rows), PATH, file_ids=2)))
+    got = in_order(t.documents_of(t.token_files(documents(spark, rows), PATH, file_bytes=2)))
     assert [r[0] for r in got] == [None, None, 1, 3, 3, 3]
     assert sorted(r[2:] for r in got if r[0] == 3) == sorted(r[2:] for r in expected([(3, "same"), (3, "same"), (3, "other")], plain))
     assert [r[1] for r in got] == list(np.cumsum([0] + [r[2] for r in got])[:-1])
