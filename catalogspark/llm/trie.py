@@ -192,8 +192,12 @@ def prefix_trie(rows: DataFrame, *, width: int = BLOCK_TURNS) -> DataFrame:
     below = nodes.agg(
         F.coalesce(F.sum("saves"), zero).alias("owns"), F.sum((F.col("depth") == 1).cast("bigint")).alias("n_children"),
         F.sum((F.col("n_children") == 0).cast("bigint")).alias("leaves"))
-    root = members.withColumn("one", F.lit(1)).join(below.withColumn("one", F.lit(1)), "one").select(
-        zero.alias("depth"), zero.alias("pa"), zero.alias("pb"), F.lit(None).cast("bigint").alias("qa"), F.lit(None).cast("bigint").alias("qb"),
+    # Two tables of one row each, put into one row.
+    empty = F.lit(None).cast("bigint")
+    root = members.select("n", "least", empty.alias("owns"), empty.alias("n_children"), empty.alias("leaves")).unionByName(
+        below.select(empty.alias("n"), empty.alias("least"), "owns", "n_children", "leaves"))
+    root = root.agg(*[F.max(c).alias(c) for c in root.columns]).filter("n is not null").select(
+        zero.alias("depth"), zero.alias("pa"), zero.alias("pb"), empty.alias("qa"), empty.alias("qb"),
         "n", "least", F.coalesce("n_children", zero).alias("n_children"), zero.alias("above"), "owns", F.greatest(F.coalesce("leaves", zero), F.lit(1)).cast("bigint").alias("leaves"))
     inner = nodes.join(sums, ["pa", "pb"]).select(*root.columns)
     every = inner.unionByName(root)
