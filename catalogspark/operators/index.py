@@ -64,3 +64,17 @@ def having_all(rows: DataFrame, tokens: list[str], *, id_col: str = "file_hash")
         .filter(F.col("__hits") == len(wanted))
         .select(id_col)
     )
+
+
+#: Registers of a sketch, as a power of two. The estimate's relative standard deviation is about 1 / sqrt(2 ** LOG_REGISTERS).
+LOG_REGISTERS = 12
+
+
+def keyword_sketches(rows: DataFrame, *keys: str) -> DataFrame:
+    """A sketch of the distinct tokens of every batch: (keys, sketch). Kept, sketches of batches unite to that of all."""
+    return rows.groupBy(*keys).agg(F.hll_sketch_agg("token", F.lit(LOG_REGISTERS)).alias("sketch"))
+
+
+def united_keywords(sketches: DataFrame, *keys: str) -> DataFrame:
+    """Estimated keyword counts (keys, keywords) of united sketches; the tokens are not read again."""
+    return sketches.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("keywords"))

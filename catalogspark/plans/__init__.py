@@ -6,7 +6,7 @@ from catalogspark.plans.registry import ORACLES, QUERIES, expand
 
 for _module in (
     "catalog_queries", "search_queries", "screen_queries", "alias_queries", "network_queries",
-    "client_queries", "traffic_queries", "report_queries",
+    "client_queries", "traffic_queries", "report_queries", "stream_queries",
 ):
     importlib.import_module(f"catalogspark.plans.{_module}")
 

@@ -108,6 +108,11 @@ def _parts(spark: SparkSession, sf: str) -> DataFrame:
 @_once(keep=False)
 def offers(spark: SparkSession, sf: str) -> DataFrame:
     """One offer per lineitem: supplier as user, part as file."""
+    return offers_of(spread(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber"), spark, sf)
+
+
+def offers_of(lines: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
+    """Offers of lineitems, at rest or as a stream."""
     kind = F.col("l_linenumber") % 5
     stem = (
         F.when(kind == 0, F.col("p_type"))
@@ -117,9 +122,7 @@ def offers(spark: SparkSession, sf: str) -> DataFrame:
         .otherwise(F.col("p_name"))
     )
     partial = F.col("l_returnflag") == "R"
-    rows = spread(table(spark, sf, "lineitem"), "l_orderkey", "l_linenumber").join(
-        _parts(spark, sf), F.col("l_partkey") == F.col("p_partkey")
-    )
+    rows = lines.join(_parts(spark, sf), F.col("l_partkey") == F.col("p_partkey"))
     ts = F.col("l_shipdate").cast("timestamp")
     return catalog.with_complete(
         rows.select(

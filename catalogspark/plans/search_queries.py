@@ -107,6 +107,25 @@ def c5_counts(spark, sf):
     return index.token_counts(b.postings(spark, sf))
 
 
+view("v_offer_tokens", f"SELECT DISTINCT year(ts) AS batch, unnest({b.sql_tokens('name')}) AS token FROM v_offers")
+
+
+@query("c5_sketched_keywords", """
+SELECT batch, count(DISTINCT token) AS keywords, true AS within FROM v_offer_tokens GROUP BY batch
+UNION ALL SELECT NULL, count(DISTINCT token), true FROM v_offer_tokens""")
+def c5_sketches(spark, sf):
+    """Tokens of a year's offers as one sketch; exact counts, and whether estimates lie within three deviations."""
+    tokens = b.offers(spark, sf).select(F.year("ts").cast("bigint").alias("batch"), F.explode(text.tokens(F.col("name"))).alias("token"))
+    sketches = index.keyword_sketches(tokens, "batch")
+    none = F.lit(None).cast("bigint")
+    guessed = index.united_keywords(sketches, "batch").unionByName(index.united_keywords(sketches).withColumn("batch", none))
+    exact = tokens.groupBy("batch").agg(F.count_distinct("token").alias("exact"))
+    exact = exact.unionByName(tokens.agg(F.count_distinct("token").alias("exact")).withColumn("batch", none))
+    both = guessed.join(exact, guessed["batch"].eqNullSafe(exact["batch"])).drop(guessed["batch"])
+    deviation = F.col("exact") / 2 ** (index.LOG_REGISTERS / 2)
+    return both.select("batch", F.col("exact").alias("keywords"), (F.abs(F.col("keywords") - F.col("exact")) <= 3 * deviation).alias("within"))
+
+
 @query("c6_token_hash", """
 SELECT token, list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(0, strlen(token)),
     lambda i: CAST(concat('0x', substr(hex(encode(token)), CAST(2 * i + 1 AS INTEGER), 2)) AS BIGINT))),

@@ -4,6 +4,13 @@ Every micro-batch is screened and reduced, and its small result is written to a
 folder of its own, so a repeated batch overwrites itself and no batch rewrites the
 table. Readers merge the pieces; the merge is associative, so compaction may fold
 old pieces into a base at any time.
+
+Disconnects are a second stream. They are written as tombstones (user, session, instant),
+and source pieces are kept by session, so the two streams need not arrive in step. A
+tombstone holds when its session is the user's latest one at its instant: the end of an
+older session changes nothing. It removes the user's pieces whose last offer is not later.
+Files and postings of which no source is left go with them. Compaction drops removed pieces, but no
+session, for a tombstone may still arrive.
 """
 
 from __future__ import annotations
@@ -14,11 +21,14 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from catalogspark.functions.ordered import running, slot
 from catalogspark.operators import catalog, index
 from catalogspark.operators.catalog import order_key
 from catalogspark.operators.screen import Policy, screen_repeated
 
-KINDS = ("files", "sources", "blocks")
+KINDS = ("files", "sources", "sessions", "blocks")
+CHUNK_SECONDS = 30 * 86_400  # a user's sessions are ordered in chunks of so much time
+DEPARTURES = "user_hash string, session_id string, ts timestamp"
 
 
 def _file_pieces(allowed: DataFrame) -> DataFrame:
@@ -28,7 +38,7 @@ def _file_pieces(allowed: DataFrame) -> DataFrame:
 
 
 def _source_pieces(allowed: DataFrame) -> DataFrame:
-    return allowed.groupBy("file_hash", "user_hash").agg(
+    return allowed.groupBy("file_hash", "user_hash", "session_id").agg(
         F.min(F.struct(order_key().alias("key"), "ip", "port")).alias("first"),
         F.max(F.struct(order_key().alias("key"), "complete")).alias("latest"),
     )
@@ -38,12 +48,36 @@ def merge_file_pieces(pieces: DataFrame) -> DataFrame:
     return pieces.groupBy("file_hash").agg(F.min("first").alias("first"), F.max("last_seen").alias("last_seen"))
 
 
-def merge_source_pieces(pieces: DataFrame) -> DataFrame:
-    return pieces.groupBy("file_hash", "user_hash").agg(
+def merge_source_pieces(pieces: DataFrame, *keys: str) -> DataFrame:
+    return pieces.groupBy("file_hash", "user_hash", *keys).agg(
         F.min("first").alias("first"), F.max("latest").alias("latest")
     )
 
 
+def merge_sessions(pieces: DataFrame) -> DataFrame:
+    return pieces.groupBy("user_hash", "session_id").agg(F.min("started").alias("started"))
+
+
+def last_departures(sessions: DataFrame, departures: DataFrame) -> DataFrame:
+    """(user_hash, gone_ts): the latest tombstone of each user that holds."""
+    none = F.lit(None).cast("string")
+    starts = sessions.select("user_hash", F.col("started").alias("ts"), "session_id", none.alias("ends"))
+    ends = departures.select("user_hash", "ts", none.alias("session_id"), F.col("session_id").alias("ends"))
+    # Starts come before ends of their instant.
+    events = starts.unionByName(ends).withColumns({"us": F.unix_micros("ts"), "is_end": F.col("ends").isNotNull()})
+    events = events.withColumn("chunk", slot(F.col("us"), CHUNK_SECONDS))
+    started = F.when(~F.col("is_end"), F.struct("us", "session_id"))
+    seen = running(events, keys=["user_hash"], chunk="chunk", order=["us", "is_end", "session_id", "ends"], aggs={"latest": ("max", started)})
+    holds = seen.filter(F.col("is_end") & (F.col("latest.session_id") == F.col("ends")))
+    return holds.groupBy("user_hash").agg(F.max("ts").alias("gone_ts"))
+
+
+def surviving(pieces: DataFrame, gone: DataFrame) -> DataFrame:
+    """Source pieces that no tombstone removes."""
+    judged = pieces.join(gone, "user_hash", "left")
+    return judged.filter(F.col("gone_ts").isNull() | (F.col("latest.key.ts") > F.col("gone_ts"))).drop("gone_ts")
+
+
 def write_batch(batch: DataFrame, batch_id: int, root: str, policy: Policy) -> None:
     """One micro-batch under one policy version."""
     screened = screen_repeated(catalog.with_complete(batch), policy)
@@ -53,6 +87,7 @@ def write_batch(batch: DataFrame, batch_id: int, root: str, policy: Policy) -> N
         parts = {
             "files": _file_pieces(allowed),
             "sources": _source_pieces(allowed),
+            "sessions": screened.groupBy("user_hash", "session_id").agg(F.min("ts").alias("started")),
             "blocks": screened.filter(F.col("layer").isNotNull()),
         }
         for kind in KINDS:
@@ -72,6 +107,17 @@ def run_catalog(
     return writer.trigger(availableNow=True).start() if once else writer.start()
 
 
+def run_departures(departures: DataFrame, root: str, checkpoint: str, *, once: bool = False) -> StreamingQuery:
+    """Start the stream of disconnects (user_hash, session_id, ts)."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.select("user_hash", "session_id", "ts").distinct()
+        rows.write.mode("overwrite").parquet(f"{root}/departures/batch={batch_id}")
+
+    writer = departures.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    return writer.trigger(availableNow=True).start() if once else writer.start()
+
+
 def _base(spark: SparkSession, root: str, kind: str) -> int:
     try:
         return spark.read.parquet(f"{root}/{kind}_log").agg(F.max("upto")).head()[0]
@@ -87,13 +133,28 @@ def _pieces(spark: SparkSession, root: str, kind: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{kind}_base/upto={upto}").unionByName(fresh)
 
 
+def read_departures(spark: SparkSession, root: str) -> DataFrame:
+    """Tombstones so far; none before the first disconnect."""
+    try:
+        return spark.read.parquet(f"{root}/departures").drop("batch")
+    except AnalysisException:
+        return spark.createDataFrame([], DEPARTURES)
+
+
+def _source_pieces_left(spark: SparkSession, root: str) -> DataFrame:
+    sessions = merge_sessions(_pieces(spark, root, "sessions"))
+    return surviving(merge_source_pieces(_pieces(spark, root, "sources"), "session_id"), last_departures(sessions, read_departures(spark, root)))
+
+
 def read_files(spark: SparkSession, root: str) -> DataFrame:
+    """Files with a source. The first name and size ever offered stay."""
     merged = merge_file_pieces(_pieces(spark, root, "files"))
-    return merged.select("file_hash", "first.name", "first.size", "last_seen")
+    alive = _source_pieces_left(spark, root).select("file_hash")
+    return merged.join(alive, "file_hash", "left_semi").select("file_hash", "first.name", "first.size", "last_seen")
 
 
 def read_sources(spark: SparkSession, root: str) -> DataFrame:
-    merged = merge_source_pieces(_pieces(spark, root, "sources"))
+    merged = merge_source_pieces(_source_pieces_left(spark, root))
     return merged.select(
         "file_hash", "user_hash", "first.ip", "first.port", F.col("latest.complete").alias("complete"),
         F.col("first.key.ts").alias("first_ts"), F.col("latest.key.ts").alias("last_ts"),
@@ -109,8 +170,15 @@ def read_blocks(spark: SparkSession, root: str) -> DataFrame:
 
 
 def compact(spark: SparkSession, root: str, upto: int) -> None:
-    """Fold the pieces up to a batch into a base; the log entry comes last."""
-    for kind, merge in (("files", merge_file_pieces), ("sources", merge_source_pieces)):
+    """Fold the pieces up to a batch into a base, without those that tombstones remove; the log entry comes last."""
+    # Sessions decide which tombstones hold, so sources are folded while all sessions are still read.
+    gone = last_departures(merge_sessions(_pieces(spark, root, "sessions")), read_departures(spark, root))
+    merges = {
+        "files": merge_file_pieces,
+        "sources": lambda pieces: surviving(merge_source_pieces(pieces, "session_id"), gone),
+        "sessions": merge_sessions,
+    }
+    for kind, merge in merges.items():
         before = _base(spark, root, kind)
         pieces = spark.read.parquet(f"{root}/{kind}").filter(F.col("batch").between(before + 1, upto)).drop("batch")
         if before >= 0:

@@ -106,6 +106,36 @@ def test_catalog_equals_batch(spark, sf, tmp_path):
     check()
 
 
+def test_disconnects_remove_sources(spark, tmp_path):
+    """The end of a user's latest session removes their sources; that of an older one, or of another user, does not."""
+    root = str(tmp_path / "catalog")
+    offer = lambda t, user, session, file: (f"2024-01-{t:02d} 00:00:00", t, user, session, file)
+    rows = [offer(1, "u1", "a", "f1"), offer(1, "u1", "a", "f2"), offer(3, "u1", "b", "f1"), offer(2, "u2", "c", "f2"), offer(2, "u3", "d", "f3"), offer(9, "u3", "e", "f4")]
+    offers = spark.createDataFrame(rows, "ts string, seq bigint, user_hash string, session_id string, file_hash string").select(
+        F.col("ts").cast("timestamp").alias("ts"), "seq", "session_id", "user_hash", "file_hash", F.lit(1).cast("bigint").alias("ip"), F.lit(2).alias("port"),
+        F.concat("file_hash", F.lit(" red.mkv")).alias("name"), F.lit(5).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("client_id"), F.lit(0).alias("client_port"))
+    gone = spark.createDataFrame([("u1", "a", "2024-01-04 00:00:00"), ("u2", "c", "2024-01-02 00:00:00"), ("u3", "d", "2024-01-05 00:00:00"), ("u9", "z", "2024-01-05 00:00:00")],
+                                 "user_hash string, session_id string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    policy = lambda: stream_catalog.Policy()
+    held = lambda: {(r.file_hash, r.user_hash) for r in stream_catalog.read_sources(spark, root).collect()}
+    stream_catalog.write_batch(offers.filter("seq <= 2"), 0, root, policy())
+    assert held() == {("f1", "u1"), ("f2", "u1"), ("f2", "u2"), ("f3", "u3")}
+    gone.write.parquet(str(tmp_path / "gone"))
+    stream = spark.readStream.schema(gone.schema).parquet(str(tmp_path / "gone"))
+    stream_catalog.run_departures(stream, root, str(tmp_path / "cp"), once=True).awaitTermination(100)
+    # Session b of u1 is not known yet: the end of a removes all of u1.
+    assert held() == set()
+    stream_catalog.write_batch(offers.filter("seq > 2"), 1, root, policy())
+    # Now a is an older session, and its end changes nothing.
+    want = {("f1", "u1"), ("f2", "u1"), ("f4", "u3")}
+    for upto in (None, 0, 1):
+        if upto is not None:
+            stream_catalog.compact(spark, root, upto)
+        assert held() == want
+        assert {r.file_hash for r in stream_catalog.read_files(spark, root).collect()} == {"f1", "f2", "f4"}
+        assert {r.token for r in stream_catalog.read_postings(spark, root).collect()} == {"f1", "f2", "f4", "red", "mkv"}
+
+
 def test_snapshots_and_recent_keys(spark, sf, tmp_path):
     events = b.events(spark, sf).select("user_hash", "ts", "at_us", "ip")
     snaps = _replay(
