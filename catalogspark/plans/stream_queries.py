@@ -10,6 +10,7 @@ from catalogspark.plans import bindings as b
 from catalogspark.plans.registry import query, view
 from catalogspark.session import ensure_checkpoint_dir
 from catalogspark.streaming import catalog as stream_catalog
+from catalogspark.streaming import clients as stream_clients
 
 ENDS_AFTER = 20 * b.DAY
 
@@ -26,6 +27,62 @@ def stream_of(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
+def replayed(spark: SparkSession, df: DataFrame, ts: str, *, parts: int = 3, after: tuple[int, ...] = (60, 120)) -> DataFrame:
+    """A table as a stream in order of time: a file for each part, and last a row for each number of days ``after``.
+
+    These let all others be finished; a join followed by an aggregate takes one for each.
+    """
+    folder = new_folder(spark, "replay")
+    low, high = df.agg(F.min(ts), F.max(ts)).first()
+    step = (high - low) / parts
+    for k in range(parts):
+        inside = (F.col(ts) >= low + k * step) & ((F.col(ts) < low + (k + 1) * step) if k + 1 < parts else F.lit(True))
+        df.filter(inside).write.mode("append").parquet(folder)
+    # Their user is named, though by nothing: a join drops rows without key before they move the watermark.
+    rest = [F.lit("" if c == "user_hash" else None).cast(df.schema[c].dataType).alias(c) for c in df.columns if c != ts]
+    for days in after:
+        last = df.agg((F.max(ts) + F.expr(f"interval {days} days")).alias(ts)).select(ts, *rest)
+        last.select(*df.columns).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def finished(spark: SparkSession, stream: DataFrame) -> DataFrame:
+    """All rows of a stream that ends."""
+    sink = new_folder(spark, "sink")
+    writer = stream.writeStream.format("parquet").option("path", f"{sink}/rows").option("checkpointLocation", f"{sink}/checkpoint")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{sink}/rows")
+
+
+@query("j6_streamed_sessions", """
+SELECT user_hash, min(at_us) AS started_us, max(at_us) AS ended_us, count(*) AS events FROM (
+  SELECT *, sum(opens) OVER (PARTITION BY user_hash ORDER BY at_us) AS session_no FROM (
+    SELECT *, CASE WHEN at_us - lag(at_us) OVER (PARTITION BY user_hash ORDER BY at_us) <= 86400000000 THEN 0 ELSE 1 END AS opens
+    FROM v_activity)) GROUP BY user_hash, session_no""")
+def j6_streamed(spark, sf):
+    """Two channels of activity as a stream; sessions as they close."""
+    activity = b.events(spark, sf).filter(F.col("event_type").isin("view", "click")).select("user_hash", "ts")
+    closed = stream_clients.stream_sessions(replayed(spark, activity, "ts"), idle_seconds=b.DAY)
+    return finished(spark, closed).filter(F.col("user_hash") != "")
+
+
+@query("j7_streamed_value", """
+SELECT p.user_hash, p.event_id AS probe_id, p.at_us, p.event_id AS announced,
+  CASE WHEN o.port <> 0 AND p.at_us - o.at_us < 43200000000 THEN o.port ELSE p.event_id END AS effective
+FROM (SELECT * FROM v_events WHERE event_type = 'purchase') p
+ASOF LEFT JOIN (SELECT user_hash, at_us, event_id % 5 AS port FROM v_events WHERE event_type = 'click') o
+  ON p.user_hash = o.user_hash AND p.at_us >= o.at_us""")
+def j7_streamed(spark, sf):
+    """Requests and observations as two streams."""
+    rows = b.events(spark, sf).filter(F.col("event_type").isin("purchase", "click")).select("user_hash", "ts", "event_id", "event_type")
+    stream = replayed(spark, rows, "ts")
+    probes = stream.filter("event_type = 'purchase' or event_type is null").select(
+        "user_hash", "ts", F.col("event_id").alias("probe_id"), F.col("event_id").alias("announced"))
+    seen = stream.filter("event_type = 'click' or event_type is null").select("user_hash", "ts", (F.col("event_id") % 5).alias("value"))
+    answered = stream_clients.stream_fresh_value(probes, seen, tolerance_seconds=12 * 3600)
+    return finished(spark, answered).filter(F.col("user_hash") != "")
+
+
 view("v_session_starts", "SELECT user_hash, session_id, min(at_us) AS started FROM v_offers GROUP BY user_hash, session_id")
 view("v_tombstones", f"""
 SELECT DISTINCT user_hash, session_id, at_us + CAST({ENDS_AFTER} AS BIGINT) * 1000000 AS gone_us FROM v_offers WHERE seq % 8 >= 6""")
