@@ -6,9 +6,11 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from catalogspark.operators.screen import Policy, screen
 from catalogspark.plans import bindings as b
 from catalogspark.plans.registry import query, view
 from catalogspark.session import ensure_checkpoint_dir
+from catalogspark.sources import policy_store
 from catalogspark.streaming import catalog as stream_catalog
 from catalogspark.streaming import clients as stream_clients
 
@@ -120,3 +122,25 @@ def k11(spark, sf):
     named = stream_catalog.read_files(spark, root).select("file_hash", "name")
     return stream_catalog.read_sources(spark, root).join(named, "file_hash").select(
         "file_hash", "user_hash", "name", "complete", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"))
+
+
+@query("a10_policy_refresh", """
+SELECT 1 AS version, file_hash, layer, reason FROM v_screened_files
+UNION ALL SELECT v.version, f.file_hash,
+  CASE WHEN listed = 0 THEN NULL WHEN listed = 1 THEN 'L3' WHEN listed = 2 THEN 'L5' WHEN l2 IS NOT NULL THEN 'L2' END,
+  CASE WHEN listed = 0 THEN NULL WHEN listed = 1 THEN 'hash' WHEN listed = 2 THEN 'poison' ELSE l2 END
+FROM v_files f JOIN v_name_rules r ON f.name = r.name LEFT JOIN v_listed l ON l.file_hash = f.file_hash
+CROSS JOIN (SELECT unnest([2, 3]) AS version) v""")
+def a10(spark, sf):
+    """A published version, one with emptied term lists, and one that cannot be read: the lists then stay as they are."""
+    root, lists, files = new_folder(spark, "policy"), b.policy(spark, sf), b.files(spark, sf)
+    policy_store.publish(spark, root, 1, hashes=lists.hashes, terms=lists.terms, extra_terms=lists.extra_terms)
+    first = policy_store.refresh(spark, root, Policy(rule=b.RULE, public=True))
+    policy_store.publish(spark, root, 2, hashes=lists.hashes)
+    second = policy_store.refresh(spark, root, first)
+    # The log names a version of which nothing was written.
+    spark.range(1).select(F.lit(3).alias("version")).write.mode("append").parquet(f"{root}/log")
+    third = policy_store.refresh(spark, root, second)
+    screened = [
+        screen(files, policy).select(F.lit(k + 1).alias("version"), "file_hash", "layer", "reason") for k, policy in enumerate((first, second, third))]
+    return screened[0].unionByName(screened[1]).unionByName(screened[2])
