@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Data is broadcast by request only when it is measured to take no more.
+BROADCAST_BYTES = 64 << 20
+#: Who wants to know of the tables that are written just now.
+_LISTENING: list[list[str]] = []
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder as Parquet and read it back.
 
@@ -28,9 +36,36 @@ def written(df: DataFrame) -> DataFrame:
     ensure_checkpoint_dir(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/llm-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _LISTENING:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def listening(paths: list[str]) -> Iterator[None]:
+    """Note the folders of the tables that are written meanwhile."""
+    _LISTENING.append(paths)
+    try:
+        yield
+    finally:
+        _LISTENING.pop()
+
+
+def release(spark: SparkSession, paths: list[str], keep: DataFrame) -> None:
+    """Delete tables by their folders, except what ``keep`` itself reads."""
+    read = keep.inputFiles() if paths else []
+    for path in paths:
+        if not any(path.rpartition("/")[2] in f for f in read):
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def bounded(df: DataFrame, bytes_of_row: Column) -> DataFrame:
+    """``df`` to be broadcast when all its rows are measured to take at most BROADCAST_BYTES."""
+    taken = df.agg(F.sum(bytes_of_row)).first()[0] or 0
+    return F.broadcast(df) if taken <= BROADCAST_BYTES else df
+
+
 def with_runtime_filters(spark: SparkSession) -> None:
     """Let Spark filter a scan by a Bloom filter of the join's small side at every size.
 

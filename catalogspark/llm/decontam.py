@@ -27,14 +27,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_of, written
+from .common import bounded, table, text_of, written
 
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW, GRAM = 13, 5
 SPAN = WINDOW - GRAM + 1
 PLACE_BITS = 26
-#: The benchmark's fingerprints, and its ids, are broadcast when they are measured to take no more.
-BROADCAST_BYTES = 64 << 20
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -129,12 +127,6 @@ def benchmark_prints(benchmark: DataFrame, text_col: str) -> tuple[DataFrame, li
                                  F.col("print.ctx").alias("item_ctx"), F.col("print.len").alias("item_len"), "item_text")), short
 
 
-def bounded(df: DataFrame, bytes_of_row: Column) -> DataFrame:
-    """``df`` to be broadcast when all its rows are measured to take at most BROADCAST_BYTES."""
-    taken = df.agg(F.sum(bytes_of_row)).first()[0] or 0
-    return F.broadcast(df) if taken <= BROADCAST_BYTES else df
-
-
 def contamination(
     docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
@@ -184,8 +176,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = contamination(docs, benchmark).filter("contaminated")
     gone = written(found.select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th")).distinct())
     match = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64(text_of("text")) == F.col("gone_th"))
-    # What goes grows with the corpus: it is never broadcast.
-    return docs.join(gone.hint("merge"), match, "left_anti")
+    # Texts stay where they are while what goes is small, as measured; beyond that both sides are shuffled.
+    return docs.join(bounded(gone, F.lit(32)), match, "left_anti")
 
 
 def op2_decontaminate(spark, sf_dir):

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, with_runtime_filters, written
+from .common import bounded, table, with_runtime_filters, written
 from .shingles import PLANES, OnePermutation, _TURN, mixed, shingle_sets
 
 SIMILAR = (75, 100)
@@ -277,8 +277,8 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents of which ``kept`` holds, one of each group, with their columns."""
     gone = written(near_duplicates(docs).filter("not kept").select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th")).distinct())
     match = (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("gone_th"))
-    # What goes grows with the corpus: it is never broadcast.
-    return docs.join(gone.hint("merge"), match, "left_anti")
+    # Texts stay where they are while what goes is small, as measured; beyond that both sides are shuffled.
+    return docs.join(bounded(gone, F.lit(32)), match, "left_anti")
 
 
 def op3_near_duplicates(spark, sf_dir):

@@ -3,18 +3,22 @@
     quality -> near_dedup -> decontaminate -> mix -> shard
 
 ``run`` writes every stage's result to the shared checkpoint folder and goes on from
-there. Every stage but the last returns the columns of ``documents``; the mix returns a
+there. A stage begins by deleting the intermediate tables of the stages before it, whose
+results are at rest by then. Every stage but the last returns the columns of ``documents``; the mix returns a
 document as often as it is taken, so its rows repeat from there on. The last stage adds
 ``shard`` and ``slot``, in place of columns of these names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalogspark.llm import decontam, mixing, neardup, quality, shards
-from catalogspark.llm.common import table, written
+from catalogspark.llm.common import listening, release, table, written
 
 SHARDS = 16
 
@@ -45,13 +49,33 @@ def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return shards.shard(docs, SHARDS).select(*own, "shard", "slot")
 
 
-STAGES = [
-    ("quality", quality_stage),
-    ("near_dedup", near_dedup_stage),
-    ("decontaminate", decontaminate_stage),
-    ("mix", mix_stage),
-    ("shard", shard_stage),
-]
+def _stages() -> list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]]:
+    """The stages in order. Each deletes the intermediate tables of those before it, whose results are at rest."""
+    stages = [
+        ("quality", quality_stage),
+        ("near_dedup", near_dedup_stage),
+        ("decontaminate", decontaminate_stage),
+        ("mix", mix_stage),
+        ("shard", shard_stage),
+    ]
+    tables: list[list[str]] = [[] for _ in stages]
+
+    def tidy(k: int, stage: Callable) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+        @wraps(stage)
+        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            for earlier in tables[:k]:
+                release(spark, earlier, docs)
+                earlier.clear()
+            tables[k] = []  # what an earlier run wrote may still be read
+            with listening(tables[k]):
+                return stage(spark, docs, sf_dir)
+
+        return run_stage
+
+    return [(name, tidy(k, stage)) for k, (name, stage) in enumerate(stages)]
+
+
+STAGES = _stages()
 
 #: The classifier has no SQL form; tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None
