@@ -98,17 +98,21 @@ def _leaf(node: Column) -> Column:
         .when(node["compare"] == "=", F.array(F.concat(F.lit("s:"), bits.cast("string"))))
         .when(node["compare"].isin("<", "<="), F.array_union(_classes(F.lit(1), bits), _classes(all_bits, all_bits)))
         .otherwise(_classes(F.when(node["value"] < 0, F.lit(1)).otherwise(bits), all_bits)))
-    by_token = F.transform(tokens, lambda t: F.array(F.concat(F.lit("t:"), t)))
-    options = (
-        F.when((op == "term") & (F.size(tokens) > 0), by_token)
-        .when(op == "term", lookups(words)).when(op == "meta", lookups(F.array(low)))
+    nothing = F.array().cast("array<array<string>>")
+    by_word = F.when(op == "term", F.transform(tokens, lambda t: F.array(F.concat(F.lit("t:"), t)))).otherwise(nothing)
+    by_name = (
+        F.when(op == "term", lookups(words)).when(op == "meta", lookups(F.array(low)))
         .when(op == "format", F.array(F.array(F.concat(F.lit("x:"), low))))
         .when(extensions.isNotNull(), F.array(F.transform(extensions, lambda e: F.concat(F.lit("x:"), e))))
-        .when(op == "num", F.array(of_size)).otherwise(F.array().cast("array<array<string>>")))
-    options = F.when(op.isin(*BINARY) | (F.size(options) > 0), options).otherwise(F.array(everything))
+        .when(op == "num", F.array(of_size)).otherwise(nothing))
+
+    def options(given: Column) -> Column:
+        return F.when(op.isin(*BINARY) | (F.size(given) > 0), given).otherwise(F.array(everything))
+
     return F.struct(
         op.alias("op"), low.alias("low"), node["compare"].alias("compare"), node["value"].alias("value"),
-        words.alias("words"), tokens.alias("tokens"), extensions.alias("extensions"), options.alias("options"))
+        words.alias("words"), tokens.alias("tokens"), extensions.alias("extensions"),
+        options(by_word).alias("by_word"), options(by_name).alias("by_name"))
 
 
 def _fold(nodes: Column, zero: str, leaf, combine) -> Column:
@@ -125,19 +129,24 @@ def _fold(nodes: Column, zero: str, leaf, combine) -> Column:
 
 
 def cover(nodes: Column, counts: Column) -> Column:
-    """The cheapest index keys of which every answer has one; ``counts`` maps keys to their numbers of files."""
+    """The cheapest index keys of which every answer has one; ``counts`` maps keys to their numbers of files.
+
+    An answer has enough whole words, and its name answers the tree. These may be due to different
+    sides of a disjunction, so a cover follows from the one or from the other, never from both.
+    """
 
     def cost(keys: Column) -> Column:
         return F.aggregate(keys, F.lit(0).cast("bigint"), lambda acc, k: acc + F.coalesce(F.try_element_at(counts, k), F.lit(0)))
 
-    def leaf(node: Column) -> Column:
-        return F.array_min(F.transform(node["options"], lambda o: F.struct(cost(o).alias("cost"), o.alias("keys"))))
-
     def combine(op: Column, left: Column, right: Column) -> Column:
         both = F.struct((left["cost"] + right["cost"]).alias("cost"), F.array_union(left["keys"], right["keys"]).alias("keys"))
         return F.when(op == "and", F.least(left, right)).when(op == "or", both).otherwise(left)
 
-    return _fold(nodes, "struct<cost:bigint,keys:array<string>>", leaf, combine)["keys"]
+    def of(kind: str) -> Column:
+        leaf = lambda node: F.array_min(F.transform(node[kind], lambda o: F.struct(cost(o).alias("cost"), o.alias("keys"))))
+        return _fold(nodes, "struct<cost:bigint,keys:array<string>>", leaf, combine)
+
+    return F.least(of("by_word"), of("by_name"))["keys"]
 
 
 def accepts(nodes: Column, lowered: Column, words: Column, size: Column) -> Column:
@@ -187,7 +196,8 @@ def batch_trees(
     asked = asked.withColumn("tree", F.md5(F.to_json("nodes")))
     trees = asked.groupBy("tree").agg(F.first("nodes").alias("nodes")).select("tree", F.transform("nodes", _leaf).alias("nodes"))
 
-    possible = trees.select("tree", F.explode(F.array_distinct(F.flatten(F.flatten(F.col("nodes.options"))))).alias("key"))
+    possible = trees.select("tree", F.explode(F.array_distinct(F.flatten(F.concat(
+        F.flatten(F.col("nodes.by_word")), F.flatten(F.col("nodes.by_name")))))).alias("key"))
     lengths = key_counts(keys.join(possible.select("key").distinct(), "key", "left_semi"))
     counts = possible.join(lengths, "key").groupBy("tree").agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("counts"))
     nothing = F.create_map().cast("map<string,bigint>")

@@ -57,10 +57,21 @@ def test_cap_equal_trees_and_empty_ones(spark, catalog):
     assert not any("gear" in r.name.lower() for r in got)
 
 
+def test_words_and_name_may_answer_by_different_sides(spark):
+    """The name holds one side's word inside another word, and has the whole word of the other side only."""
+    rows = [("f1", "cold gear.exe", 1), ("f2", "old gear.mp3", 1)] + [(f"g{i}", "gear x.pdf", 1) for i in range(9)]
+    files = spark.createDataFrame(rows, "file_hash string, name string, size bigint")
+    tree = {"or": [{"term": "old"}, {"and": [{"term": "gear"}, {"type": "audio"}]}]}
+    want = [r.file_hash for r in search.search(files, index.postings(files), None, tree).collect()]
+    got = trees.batch_trees(files, trees.search_keys(files), as_table(spark, [tree])).collect()
+    assert sorted(r.file_hash for r in got) == want == ["f1", "f2"]
+
+
 def test_covers_are_cheap(spark):
     """The rarer side of a conjunction, both of a disjunction, the left of an exclusion."""
     tree = {"not": [{"or": [{"and": [{"term": "common"}, {"term": "rare"}]}, {"and": [{"type": "iso"}, {"term": "middle"}]}]}, {"term": "rarest"}]}
-    counts = {"t:common": 900, "t:rare": 2, "t:middle": 50, "t:rarest": 1, "x:iso": 80, "x:bin": 20}
+    grams = {f"g:{w[i:i + 3]}": 1000 for w in ("common", "rare", "middle") for i in range(len(w) - 2)}
+    counts = {"t:common": 900, "t:rare": 2, "t:middle": 50, "t:rarest": 1, "x:iso": 80, "x:bin": 20, "s:20": 5000} | grams
     row = spark.range(1).select(
         F.transform(trees.postfix(tree), trees._leaf).alias("nodes"), F.create_map(*[F.lit(x) for kv in counts.items() for x in kv]).cast("map<string,bigint>").alias("counts"))
     assert sorted(row.select(trees.cover(F.col("nodes"), F.col("counts")).alias("c")).first().c) == ["t:middle", "t:rare"]
