@@ -60,7 +60,7 @@ SELECT min(p_partkey) AS ord, term FROM (
 
 
 @query("e2_term_table", r"""
-SELECT name, arg_min(term, ord) AS term FROM (SELECT DISTINCT name, lower(name) AS n FROM v_offers) JOIN v_vendor_terms
+SELECT name, arg_min(term, (ord, term)) AS term FROM (SELECT DISTINCT name, lower(name) AS n FROM v_offers) JOIN v_vendor_terms
   ON contains(n, rtrim(term, '$')) AND regexp_matches(n, concat('(^|[^a-z])', regexp_escape(rtrim(term, '$')),
     CASE WHEN term LIKE '%$' THEN '($|[^a-z0-9_])' WHEN length(term) < 6 AND NOT term LIKE '%.' THEN '($|[^a-z])' ELSE '' END))
 GROUP BY name""")

@@ -104,3 +104,17 @@ def test_store_keeps_long_lists_as_tables(spark, tmp_path, files):
     policy = policy_store.load(spark, root)
     assert policy.terms.count() == policy_store.INLINE_TERMS + 2 and policy.extra_terms == ("rod",)
     assert verdicts(screen.screen(files, policy)) == verdicts(screen.screen(files, Policy(hashes=hashes, terms=("gear", "red"), extra_terms=("rod",))))
+
+
+def test_term_table_sql_settles_ties():
+    """Two entries of one part have one place in the list; the smaller one is the answer."""
+    import __spark_entry__ as contract
+
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute("""CREATE TABLE part AS SELECT * FROM (VALUES (70, 'zed anvil', 'T', 'Brand#1', 3), (140, 'aaa bolt', 'T', 'Brand#1', 3))
+        t(p_partkey, p_name, p_type, p_brand, p_size)""")
+    con.execute("""CREATE TABLE lineitem AS SELECT k AS l_orderkey, k AS l_partkey, 1 AS l_suppkey, 4 AS l_linenumber, 'N' AS l_returnflag,
+        TIMESTAMP '2000-01-01' AS l_shipdate FROM (VALUES (70), (140)) t(k)""")
+    assert sorted(con.execute(contract.oracle_sql()["e2_term_table"]).fetchall()) == [
+        ("aaa bolt.pdf", "aaa bolt."), ("zed anvil.bin", "anvil")]
