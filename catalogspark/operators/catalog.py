@@ -37,11 +37,13 @@ def files(offers: DataFrame) -> DataFrame:
 
 def sources(offers: DataFrame) -> DataFrame:
     """One row per (file, user): first address wins, the latest completeness counts."""
+    # The order of offers, less what the group fixes.
+    order = [c for c in ORDER if c not in ("file_hash", "user_hash")]
     return (
         offers.groupBy("file_hash", "user_hash")
         .agg(
-            F.min_by(F.struct("ip", "port"), order_key()).alias("first"),
-            F.max_by("complete", order_key()).alias("complete"),
+            F.min(F.struct(*order, "ip", "port")).alias("first"),
+            F.max(F.struct(*order)).getField("complete").alias("complete"),
             F.min("ts").alias("first_ts"),
             F.max("ts").alias("last_ts"),
         )

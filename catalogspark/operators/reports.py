@@ -30,12 +30,14 @@ def blocks_by_file(first_catches: DataFrame, *, names_shown: int = 12) -> DataFr
         F.min_by(F.struct("name", "first"), F.struct("first", "name")).alias("lead")
     )
     apart = ~F.arrays_overlap(words4_bytes(F.col("name")), words4_bytes(F.col("lead.name")))
+    # A file has each name once; compared with all columns, so that Spark shuffles the catches once for all three uses.
+    other = F.struct("name", "first") != F.col("lead")
     totals = (
         per_name.join(leads, "file_hash")
         .groupBy("file_hash", "lead")
         .agg(
             F.count("*").alias("name_count"),
-            F.count_if((F.col("name") != F.col("lead.name")) & apart).alias("unrelated"),
+            F.count_if(other & apart).alias("unrelated"),
         )
     )
     listed = first_per_key(per_name, ["file_hash"], ["first", "name"], names_shown)

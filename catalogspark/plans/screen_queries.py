@@ -293,13 +293,11 @@ FROM v_screened_offers o LEFT JOIN v_ban_marks m ON m.user_hash = o.user_hash AN
 SELECT batch_id, count(*) AS processed, max(seq) AS last_seq FROM v_flagged f WHERE seq <= coalesce(
   (SELECT min(seq) FROM v_flagged g WHERE coalesce(g.bans, false) AND g.batch_id = f.batch_id), seq) GROUP BY batch_id""")
 def f4(spark, sf):
-    marks = b.ban_marks(spark, sf).withColumnRenamed("caught_us", "at_us").withColumn("mark", F.lit(True))
-    rows = b.screened_offers(spark, sf).withColumn("at_us", F.unix_micros("ts"))
-    counted = screen.counts_against_publisher(F.col("layer")) & F.col("mark").isNotNull()
-    flagged = rows.join(marks, ["user_hash", "at_us"], "left").select(
-        "batch_id", "seq", F.coalesce(counted, F.lit(False)).alias("bans")
-    )
-    return enforce.truncate_batches(flagged).groupBy("batch_id").agg(
+    """Only catches ban, so the other records go by batch and number alone."""
+    banning = b.catches(spark, sf).select("user_hash", "caught_us", "batch_id", "seq").join(
+        b.ban_marks(spark, sf), ["user_hash", "caught_us"], "left_semi")
+    records = b.offers(spark, sf).select("batch_id", "seq")
+    return enforce.truncate_batches(records, banning).groupBy("batch_id").agg(
         F.count("*").alias("processed"), F.max("seq").alias("last_seq")
     )
 
