@@ -14,6 +14,11 @@ Index keys of a file (``search_keys``), one row each:
 
 A tree that nothing narrows is covered by all size classes, that is by all files, as a
 single search without a token is a scan.
+
+Answers come in hash order and end at a cap, so a tree with a long cover first meets a short
+prefix of the hashes, and those with too few answers yet go on to the next, eight times as long;
+the last is everything. How far a tree reads thus depends on how rare its answers are,
+not on the number of files.
 """
 
 from __future__ import annotations
@@ -24,10 +29,16 @@ from catalogspark.functions import filetype, text
 from catalogspark.functions.ordered import first_per_key
 from catalogspark.operators import grams
 from catalogspark.operators.search import RESULT_CAP
+from catalogspark.session import cut_lineage
 
 NODE = "op string, text string, compare string, value bigint"
 BINARY = ("and", "or", "not")
 SIZE_CLASSES = 64
+# Ends of the hash prefixes: 1/4096, 1/512, 1/64 and 1/8 of hexadecimal hashes, and the rest. Other
+# hashes are answered as well, only their prefixes have other lengths.
+PREFIXES = ("001", "008", "04", "2")
+# Index rows that a tree may meet at first, per answer asked for.
+FIRST_ROWS = 50
 
 
 def postfix(tree: dict) -> Column:
@@ -128,8 +139,8 @@ def _fold(nodes: Column, zero: str, leaf, combine) -> Column:
     return F.get(F.aggregate(nodes, F.array().cast(f"array<{zero}>"), step), F.lit(0))
 
 
-def cover(nodes: Column, counts: Column) -> Column:
-    """The cheapest index keys of which every answer has one; ``counts`` maps keys to their numbers of files.
+def costed_cover(nodes: Column, counts: Column) -> Column:
+    """(cost, keys): the cheapest index keys of which every answer has one; ``counts`` maps keys to their numbers of files.
 
     An answer has enough whole words, and its name answers the tree. These may be due to different
     sides of a disjunction, so a cover follows from the one or from the other, never from both.
@@ -146,7 +157,12 @@ def cover(nodes: Column, counts: Column) -> Column:
         leaf = lambda node: F.array_min(F.transform(node[kind], lambda o: F.struct(cost(o).alias("cost"), o.alias("keys"))))
         return _fold(nodes, "struct<cost:bigint,keys:array<string>>", leaf, combine)
 
-    return F.least(of("by_word"), of("by_name"))["keys"]
+    return F.least(of("by_word"), of("by_name"))
+
+
+def cover(nodes: Column, counts: Column) -> Column:
+    """The keys alone."""
+    return costed_cover(nodes, counts)["keys"]
 
 
 def accepts(nodes: Column, lowered: Column, words: Column, size: Column) -> Column:
@@ -178,6 +194,14 @@ def accepts(nodes: Column, lowered: Column, words: Column, size: Column) -> Colu
     return _fold(nodes, "int", leaf, combine) == 3
 
 
+def _level(file_hash: Column) -> Column:
+    """Number of the first prefix that holds a hash."""
+    level = F.lit(len(PREFIXES))
+    for i, end in reversed(list(enumerate(PREFIXES))):
+        level = F.when(file_hash < end, i).otherwise(level)
+    return level
+
+
 def batch_trees(
     file_rows: DataFrame,
     keys: DataFrame,
@@ -201,7 +225,12 @@ def batch_trees(
     lengths = key_counts(keys.join(possible.select("key").distinct(), "key", "left_semi"))
     counts = possible.join(lengths, "key").groupBy("tree").agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("counts"))
     nothing = F.create_map().cast("map<string,bigint>")
-    covers = trees.join(counts, "tree", "left").select("tree", F.explode(cover(F.col("nodes"), F.coalesce("counts", nothing))).alias("key"))
+    chosen = trees.join(counts, "tree", "left").select("tree", costed_cover(F.col("nodes"), F.coalesce("counts", nothing)).alias("c"))
+    start = F.lit(0)
+    for i in range(1, len(PREFIXES) + 1):
+        start = F.when(F.col("c.cost") <= FIRST_ROWS * cap * 8 ** (len(PREFIXES) - i), i).otherwise(start)
+    covers = cut_lineage(chosen.select("tree", start.alias("start"), F.explode("c.keys").alias("key")))
+    first = covers.agg(F.min("start")).head()[0]
 
     served = file_rows.select("file_hash", "name", "size")
     if withheld is not None:
@@ -209,11 +238,24 @@ def batch_trees(
     if source_rows is not None:
         served = served.join(source_rows.select("file_hash"), "file_hash", "left_semi")
     words = F.split(F.lower("name"), text.SEPARATORS)
-    met = covers.join(keys, "key").select("tree", "file_hash").distinct()
-    hits = (
-        met.join(served, "file_hash").join(trees, "tree")
-        .filter(accepts(F.col("nodes"), F.lower("name"), words, F.col("size")))
-        .select("tree", "file_hash", "name", "size")
-    )
-    best = first_per_key(hits, ["tree"], ["file_hash"], cap)
+    best = None
+    for level in range(len(PREFIXES) if first is None else first, len(PREFIXES) + 1):
+        reached = (lambda rows: rows) if level == len(PREFIXES) else (lambda rows: rows.filter(F.col("file_hash") < PREFIXES[level]))  # noqa: B023
+        # A tree that has begun meets only the new part.
+        below = F.when(F.col("start") == level, F.sequence(F.lit(0), F.lit(level))).otherwise(F.array(F.lit(level)))
+        turn = covers.filter(F.col("start") <= level)
+        if best is not None:
+            turn = turn.join(best.groupBy("tree").count().filter(F.col("count") >= cap), "tree", "left_anti")
+        turn = turn.select("tree", "key", F.explode(below).alias("level"))
+        placed = reached(keys.select("key", "file_hash")).withColumn("level", _level(F.col("file_hash")))
+        met = turn.join(placed, ["key", "level"]).select("tree", "file_hash").distinct()
+        hits = (
+            met.join(reached(served), "file_hash").join(trees, "tree")
+            .filter(accepts(F.col("nodes"), F.lower("name"), words, F.col("size")))
+            .select("tree", "file_hash", "name", "size")
+        )
+        found = hits if best is None else hits.unionByName(best.drop("rank"))
+        best = first_per_key(found, ["tree"], ["file_hash"], cap)
+        if level < len(PREFIXES):
+            best = cut_lineage(best)
     return asked.join(best, "tree").select("query_id", "rank", "file_hash", "name", "size")

@@ -1,5 +1,6 @@
 """A table of boolean trees equals one search per tree."""
 
+import hashlib
 import random
 
 import pytest
@@ -75,3 +76,22 @@ def test_covers_are_cheap(spark):
     row = spark.range(1).select(
         F.transform(trees.postfix(tree), trees._leaf).alias("nodes"), F.create_map(*[F.lit(x) for kv in counts.items() for x in kv]).cast("map<string,bigint>").alias("counts"))
     assert sorted(row.select(trees.cover(F.col("nodes"), F.col("counts")).alias("c")).first().c) == ["t:middle", "t:rare"]
+
+
+def test_long_covers_are_read_by_prefix(spark, monkeypatch):
+    """All files answer the first tree, few the second: both are whole, and the first reads a prefix."""
+    rows = [(hashlib.md5(str(i).encode()).hexdigest(), f"word{i % 500} common.mp3", i) for i in range(4000)]
+    files = spark.createDataFrame(rows, "file_hash string, name string, size bigint")
+    asked = as_table(spark, [{"not": [{"num": "size", "op": ">=", "value": 0}, {"term": "word7777"}]}, {"meta": "word499"}, {"format": "mp3"}])
+    widths = []
+    real = trees.cut_lineage
+    monkeypatch.setattr(trees, "FIRST_ROWS", 2)
+    monkeypatch.setattr(trees, "cut_lineage", lambda df: widths.append(real(df)) or widths[-1])
+    got = trees.batch_trees(files, trees.search_keys(files), asked, cap=5).collect()
+    by_query = {}
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        by_query.setdefault(r.query_id, []).append(r.file_hash)
+    every = sorted(r[0] for r in rows)
+    rare = sorted(r[0] for r in rows if "word499" in r[1])
+    assert sorted(by_query.values()) == sorted([every[:5], rare[:5], every[:5]])
+    assert len(widths) > 1 and widths[0].filter("start < 4").count() > 0
