@@ -38,14 +38,14 @@ FROM v_aliases""")
 
 @b.kept
 def alias_records(spark, sf):
-    return aliases.alias_records(b.offers(spark, sf))
+    return aliases.alias_records(b.offers_by_file(spark, sf))
 
 
 @query("g1_admissions", f"""
 SELECT a.file_hash, o.stored, o.at_us AS admitted_us, o.name AS admitting_name FROM v_admitted a
 JOIN v_ordered_offers o ON o.file_hash = a.file_hash AND o.rn = a.admitted""")
 def g1(spark, sf):
-    return aliases.admissions(b.offers(spark, sf)).select(
+    return aliases.admissions(b.offers_by_file(spark, sf)).select(
         "file_hash", "stored", F.unix_micros("admitted.ts").alias("admitted_us"),
         F.col("admitted.name").alias("admitting_name"),
     )

@@ -5,6 +5,7 @@ import re
 
 from catalogspark.operators import catalog, enforce, reports
 from catalogspark.plans import bindings as b
+from catalogspark.plans.alias_queries import alias_records
 
 
 @contextlib.contextmanager
@@ -62,3 +63,11 @@ def test_report_by_file_shuffles_catches_once(spark):
         plan = report._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     made = [line for line in plan.splitlines() if re.search(r"\bExchange hashpartitioning\(file_hash#\d+, name#\d+", line)]
     assert len([line for line in made if "ReusedExchange" not in line]) == 1
+
+
+def test_tables_by_file_are_not_sorted_before_they_move(spark, sf):
+    """Small parts are not broadcast: offers, widened and sorted in whole input splits, would spill before their shuffle."""
+    for kept in (b.files, b.sources, alias_records):
+        moved = _exchanges(kept(spark, sf))
+        assert any("l_partkey" in m for m in moved)
+        assert not any("user_hash" in m or "name" in m for m in moved)
