@@ -17,15 +17,23 @@ def window_rows(rows: DataFrame, *, ts_us: str, since_us: Column | None) -> Data
     return rows if since_us is None else rows.filter(F.col(ts_us) >= since_us)
 
 
-def blocks_by_file(first_catches: DataFrame, *, names_shown: int = 12) -> DataFrame:
+def caught_names(first_catches: DataFrame) -> DataFrame:
+    """The distinct names of every file with the earliest catch of each."""
+    return first_catches.groupBy("file_hash", "name").agg(
+        F.min(F.struct("caught_us", "user_hash", "layer", "reason", "size")).alias("first")
+    )
+
+
+def blocks_by_file(
+    first_catches: DataFrame, *, names_shown: int = 12, per_name: DataFrame | None = None
+) -> DataFrame:
     """One row per file: its earliest catch, all its distinct names counted, the first few listed.
 
     ``unrelated`` counts the names that share no long word with the earliest one;
-    it is taken over all names, not over the listed ones.
+    it is taken over all names, not over the listed ones. ``per_name`` may hold the ``caught_names``
+    where they are kept: they are read three times, and far fewer than the catches.
     """
-    per_name = first_catches.groupBy("file_hash", "name").agg(
-        F.min(F.struct("caught_us", "user_hash", "layer", "reason", "size")).alias("first")
-    )
+    per_name = caught_names(first_catches) if per_name is None else per_name
     leads = per_name.groupBy("file_hash").agg(
         F.min_by(F.struct("name", "first"), F.struct("first", "name")).alias("lead")
     )

@@ -109,9 +109,14 @@ JOIN (SELECT file_hash, count(*) AS name_count, count(*) FILTER (WHERE name <> l
 WHERE rn = 1""")
 
 
+@b.kept
+def caught_names(spark, sf):
+    return reports.caught_names(b.ledger(spark, sf))
+
+
 @b.kept
 def blocks_by_file(spark, sf):
-    return reports.blocks_by_file(b.ledger(spark, sf))
+    return reports.blocks_by_file(b.ledger(spark, sf), per_name=caught_names(spark, sf))
 
 
 @query("g7_decoys", """

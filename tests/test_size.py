@@ -5,7 +5,7 @@ import re
 
 from catalogspark.operators import catalog, enforce, reports
 from catalogspark.plans import bindings as b
-from catalogspark.plans.alias_queries import alias_records
+from catalogspark.plans.alias_queries import alias_records, blocks_by_file
 
 
 @contextlib.contextmanager
@@ -71,3 +71,15 @@ def test_tables_by_file_are_not_sorted_before_they_move(spark, sf):
         moved = _exchanges(kept(spark, sf))
         assert any("l_partkey" in m for m in moved)
         assert not any("user_hash" in m or "name" in m for m in moved)
+
+
+def test_report_by_file_reads_kept_names(spark, sf):
+    """Spark does not reuse exchanges over a kept table, so the names are kept, and the ledger is grouped once."""
+    report = blocks_by_file(spark, sf)
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    # The names' own plan is printed where they are read.
+    reads = plan.count("InMemoryTableScan [file_hash")
+    assert reads >= 3 and plan.count("InMemoryRelation [file_hash#") >= 3
+    assert any(key[1:3] == (sf, "caught_names") for key in b._KNOWN)
+    again = reports.blocks_by_file(b.ledger(spark, sf))
+    assert sorted(map(str, report.collect())) == sorted(map(str, again.collect()))
