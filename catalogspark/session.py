@@ -44,6 +44,19 @@ def apply(spark: SparkSession) -> None:
             spark.conf.set(key, RECOMMENDED[key])
 
 
+# Shuffles of catalog queries start with at least so many pieces, which runtime re-planning coalesces by measured size:
+# sorts of a piece then stay in memory however few partitions a session names. With more than 200
+# (spark.shuffle.sort.bypassMergeThreshold) map tasks would sort their whole input before they write it.
+PIECES = 200
+
+
+def apply_pieces(spark: SparkSession) -> None:
+    """Start shuffles with enough pieces, unless the session names their number itself."""
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(max(PIECES, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the cluster's checkpoint folder; make one only where none is named."""
     if spark.sparkContext.getCheckpointDir() is not None:

@@ -3,6 +3,7 @@
 import contextlib
 import re
 
+import __spark_entry__ as contract
 from catalogspark.operators import catalog, enforce, reports
 from catalogspark.plans import bindings as b
 from catalogspark.plans.alias_queries import alias_records, blocks_by_file
@@ -83,3 +84,35 @@ def test_report_by_file_reads_kept_names(spark, sf):
     assert any(key[1:3] == (sf, "caught_names") for key in b._KNOWN)
     again = reports.blocks_by_file(b.ledger(spark, sf))
     assert sorted(map(str, report.collect())) == sorted(map(str, again.collect()))
+
+
+def test_runs_of_catches_are_made_once(spark, sf):
+    """Ledger and ban marks read the kept runs: catches move for themselves, not for the runs again."""
+    for kept in (b.ledger, b.ban_marks):
+        plan = kept(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "starts#" in plan
+    assert any(key[1:3] == (sf, "catch_runs") for key in b._KNOWN)
+
+
+def test_catches_are_not_sorted_to_meet_verdicts_or_users(spark, sf):
+    """Joins of lineitems with verdicts, and of catches with their user, hash the smaller side: no sort that may spill."""
+    with _shuffled_joins(spark):
+        joined = b.screened_offers(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        schema = "user_hash string, caught_us bigint"
+        caught, runs = spark.createDataFrame([], schema), spark.createDataFrame([], "user_hash string, starts array<bigint>")
+        epochs = enforce._with_epochs(caught, 100, runs, "user_hash", "caught_us")._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [l_partkey" in joined and "Sort [l_partkey" not in joined
+    assert "ShuffledHashJoin [user_hash" in epochs and "Sort [" not in epochs
+
+
+def test_catalog_shuffles_start_with_enough_pieces(spark, sf):
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    spark.conf.unset(key)
+    try:
+        contract.queries()["h1_review_window"](spark, sf)
+        assert int(spark.conf.get(key)) >= 200
+        spark.conf.set(key, "5")
+        contract.queries()["h1_review_window"](spark, sf)
+        assert spark.conf.get(key) == "5"
+    finally:
+        spark.conf.unset(key)
