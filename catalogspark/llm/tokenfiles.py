@@ -22,7 +22,9 @@ the manifest, which Spark commits, belong to the result: a lost executor leaves
 file. Files go to any store that Arrow's file systems reach.
 
 Encoding is by the tokenizers library. A text is cut before single blanks between words,
-where no token crosses, and a worker encodes each distinct piece once (REMEMBERED at a time).
+where no token crosses, and a worker encodes each distinct piece once (REMEMBERED at a time). New
+pieces that begin and end at such cuts go through the library many in one string; the bytes of
+each token tell which piece it is of.
 
 Defined results: a null or empty text is its end id alone; rows with one id are ordered by
 the text's hash (equal ones are alike), null ids come first; repeated rows are documents of
@@ -34,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import os
 import re
 import sys
 import types
@@ -63,6 +66,8 @@ TOGETHER, REMEMBERED, KEPT = 1 << 22, 1 << 19, 1 << 17
 #: Blanks between two words. No pattern of a byte-level tokenizer takes both the blank and what is before it.
 CUT = re.compile(r"(?<=\S)(?= \S)")
 NONE, BLANK = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+#: Pieces with a cut at both ends: between two of them is a single blank between words again. So many go in one string.
+WHOLE, STRUNG = r"(?s)\A [^\s\x0b\x1c-\x1f\x{85}\p{Z}](.*[^\s\x0b\x1c-\x1f\x{85}\p{Z}])?\z", 1 << 10
 #: A blank at either end, or beside other white space.
 UNEVEN = r"^ | $| [\s\x0b\x1c-\x1f\x{85}\p{Z}]|[\s\x0b\x1c-\x1f\x{85}\p{Z}] "
 
@@ -240,6 +245,10 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.encode_special_tokens = True
+        # Bytes of each token, written in the byte-level alphabet: a letter a byte.
+        vocabulary = self.tokenizer.get_vocab()
+        self.n_bytes = np.zeros(max(vocabulary.values(), default=-1) + 1, np.int64)
+        self.n_bytes[list(vocabulary.values())] = [len(token) for token in vocabulary]
         self.pieces = pa.array([], pa.large_string())
         self.ids, self.sizes, self.met = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -253,6 +262,36 @@ class Encoder:
         self.pieces, self.met = self.pieces.take(pa.array(often)), np.ones(len(often), np.int64)
         pa.default_memory_pool().release_unused()
 
+    def each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and how many each has."""
+        ids: list[list[int]] = []
+        for k in range(0, len(texts), 1 << 14):  # an encoding takes far more memory than its ids
+            ids += [e.ids for e in self.tokenizer.encode_batch_fast(texts[k:k + (1 << 14)], add_special_tokens=False)]
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def coded(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the pieces, and how many each has. Pieces that are cut at both ends are strung together."""
+        whole = pc.match_substring_regex(pieces, WHOLE).to_numpy(zero_copy_only=False)
+        parts = []
+        for at in np.split(np.flatnonzero(whole), np.arange(STRUNG << 4, whole.sum(), STRUNG << 4)):
+            some = pieces.take(pa.array(at))
+            ends = np.cumsum(pc.binary_length(some).to_numpy(zero_copy_only=False).astype(np.int64))
+            words = some.to_pylist()
+            ids, _ = self.each(["".join(words[k:k + STRUNG]) for k in range(0, len(words), STRUNG)])
+            read = np.cumsum(self.n_bytes[ids])
+            last = np.searchsorted(read, ends)
+            # Not so where a tokenizer changes its text, or is not of bytes: each piece alone, then.
+            if len(at) and (len(read) == 0 or read[-1] != ends[-1] or not np.array_equal(read[last], ends)):
+                ids, sizes = self.each(words)
+            else:
+                sizes = np.diff(last + 1, prepend=0)
+            parts.append((at, ids, sizes))
+        alone = np.flatnonzero(~whole)
+        parts.append((alone, *self.each(pieces.take(pa.array(alone)).to_pylist())))
+        at, ids, sizes = (np.concatenate(column) for column in zip(*parts))
+        back = np.argsort(at, kind="stable")
+        return ids[segments((np.cumsum(sizes) - sizes)[back], sizes[back])], sizes[back]
+
     def numbers(self, pieces: pa.Array) -> np.ndarray:
         """The number of each piece; new ones are encoded."""
         coded = pieces.cast(pa.large_string()).dictionary_encode()
@@ -262,11 +301,8 @@ class Encoder:
         at = found.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         at[new.to_numpy(zero_copy_only=False)] = len(self.pieces) + np.arange(len(fresh))
         if len(fresh):
-            ids: list[list[int]] = []
-            for k in range(0, len(fresh), 1 << 14):  # an encoding takes far more memory than its ids
-                ids += [e.ids for e in self.tokenizer.encode_batch_fast(fresh.slice(k, 1 << 14).to_pylist(), add_special_tokens=False)]
-            self.ids = np.append(self.ids, np.fromiter(itertools.chain.from_iterable(ids), np.uint32))
-            self.sizes = np.append(self.sizes, np.fromiter(map(len, ids), np.int64, len(ids)))
+            ids, sizes = self.coded(fresh)
+            self.ids, self.sizes = np.append(self.ids, ids), np.append(self.sizes, sizes)
             self.pieces = pa.concat_arrays([self.pieces, fresh])
             self.met = np.append(self.met, np.zeros(len(fresh), np.int64))
         numbers = at[coded.indices.to_numpy()]
@@ -313,6 +349,7 @@ def encoder_of(tokenizer_json: str) -> Encoder:
     kept = sys.modules.setdefault("_kept_encoders", types.ModuleType("_kept_encoders")).__dict__
     name = hashlib.sha256(tokenizer_json.encode()).hexdigest()
     if name not in kept:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # every core has a task of its own
         kept[name] = Encoder(tokenizer_json)
     return kept[name]
 

@@ -142,3 +142,22 @@ def test_query(spark, sf, plain):
     got = t.op11_token_files(spark, sf)
     assert got.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert in_order(got) == expected(rows, plain)
+
+
+def test_new_pieces_go_through_the_tokenizer_together(plain):
+    """Pieces cut at both ends share a call, and get the ids that they have alone; so do all others."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcdefgé日😀'-.0 9\n<|>") for _ in range(rng.randint(1, 9))) for _ in range(6000)]
+    pieces = list(dict.fromkeys([w if rng.random() < 0.3 else " " + w for w in words] + [" a", "a", " ", "  a", " a ", " a\n", " \u00a0a", " a\u3000", " <|endoftext|>", ""]))
+    with open(PATH, encoding="utf-8") as f:
+        encoder = t.Encoder(f.read())
+    calls = []
+    each = encoder.each
+    encoder.each = lambda texts: (calls.append(len(texts)), each(texts))[1]
+    ids, sizes = encoder.coded(pa.array(pieces, pa.large_string()))
+    assert [a.tolist() for a in np.split(ids, np.cumsum(sizes)[:-1])] == [plain(p) for p in pieces]
+    assert sum(calls) < len(pieces) * 0.7
+    # A tokenizer whose tokens do not tell their bytes.
+    encoder.n_bytes[:] = 1
+    again, _ = encoder.coded(pa.array(pieces, pa.large_string()))
+    assert np.array_equal(ids, again)
