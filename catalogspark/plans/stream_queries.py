@@ -119,8 +119,7 @@ def k11(spark, sf):
     ]
     for stream in running:
         stream.awaitTermination()
-    named = stream_catalog.read_files(spark, root).select("file_hash", "name")
-    return stream_catalog.read_sources(spark, root).join(named, "file_hash").select(
+    return stream_catalog.read_named_sources(spark, root).select(
         "file_hash", "user_hash", "name", "complete", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"))
 
 

@@ -18,12 +18,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from catalogspark.functions.ordered import running, slot
 from catalogspark.operators import catalog, index
-from catalogspark.operators.catalog import order_key
+from catalogspark.operators.catalog import ORDER, order_key
 from catalogspark.operators.screen import Policy, screen_repeated
 
 KINDS = ("files", "sources", "sessions", "blocks")
@@ -31,16 +31,21 @@ CHUNK_SECONDS = 30 * 86_400  # a user's sessions are ordered in chunks of so muc
 DEPARTURES = "user_hash string, session_id string, ts timestamp"
 
 
+def _key(*fixed: str) -> Column:
+    """The order of offers, less what the group fixes: pieces hold and move it twice."""
+    return order_key([c for c in ORDER if c not in fixed]).alias("key")
+
+
 def _file_pieces(allowed: DataFrame) -> DataFrame:
     return allowed.groupBy("file_hash").agg(
-        F.min(F.struct(order_key().alias("key"), "name", "size")).alias("first"), F.max("ts").alias("last_seen")
+        F.min(F.struct(_key("file_hash"), "name", "size")).alias("first"), F.max("ts").alias("last_seen")
     )
 
 
 def _source_pieces(allowed: DataFrame) -> DataFrame:
     return allowed.groupBy("file_hash", "user_hash", "session_id").agg(
-        F.min(F.struct(order_key().alias("key"), "ip", "port")).alias("first"),
-        F.max(F.struct(order_key().alias("key"), "complete")).alias("latest"),
+        F.min(F.struct(_key("file_hash", "user_hash"), "ip", "port")).alias("first"),
+        F.max(F.struct(_key("file_hash", "user_hash"))).alias("latest"),
     )
 
 
@@ -156,11 +161,17 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
 def read_sources(spark: SparkSession, root: str) -> DataFrame:
     merged = merge_source_pieces(_source_pieces_left(spark, root))
     return merged.select(
-        "file_hash", "user_hash", "first.ip", "first.port", F.col("latest.complete").alias("complete"),
+        "file_hash", "user_hash", "first.ip", "first.port", F.col("latest.key.complete").alias("complete"),
         F.col("first.key.ts").alias("first_ts"), F.col("latest.key.ts").alias("last_ts"),
     )
 
 
+def read_named_sources(spark: SparkSession, root: str) -> DataFrame:
+    """Sources with their file's name. A file with a source is one that ``read_files`` keeps, so the sources are read once."""
+    names = merge_file_pieces(_pieces(spark, root, "files")).select("file_hash", F.col("first.name").alias("name"))
+    return read_sources(spark, root).join(names, "file_hash")
+
+
 def read_postings(spark: SparkSession, root: str) -> DataFrame:
     return index.postings(read_files(spark, root))
 

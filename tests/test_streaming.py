@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from catalogspark.operators import catalog, traffic
 from catalogspark.operators.traffic import FloodLimits
 from catalogspark.plans import bindings as b
+from catalogspark.operators.screen import Policy
 from catalogspark.streaming import catalog as stream_catalog
 from catalogspark.streaming import enforce as stream_enforce
 from catalogspark.streaming import traffic as stream_traffic
@@ -150,3 +151,18 @@ def test_snapshots_and_recent_keys(spark, sf, tmp_path):
         lambda e: stream_traffic.stream_recent_keys(e, key="ip", ts="ts", ttl="60 days"),
     )
     assert _rows(first, "ip") == _rows(events.select("ip").distinct(), "ip")
+
+
+def test_pieces_hold_no_key_twice_and_sources_are_read_once(spark, tmp_path):
+    root = str(tmp_path / "catalog")
+    rows = [(i, f"u{i % 2}", f"f{i % 3}", f"s{i % 2}") for i in range(12)]
+    offers = spark.createDataFrame(rows, "seq bigint, user_hash string, file_hash string, session_id string").selectExpr(
+        "*", "timestamp_seconds(seq) AS ts", "concat('name ', seq) AS name", "seq AS size", "1L AS ip", "1 AS port", "1L AS client_id", "1 AS client_port")
+    stream_catalog.write_batch(offers, 0, root, Policy())
+    pieces = spark.read.parquet(f"{root}/sources")
+    held = set(pieces.select("first.key.*").columns) | set(pieces.select("latest.key.*").columns)
+    assert held == {"ts", "seq", "name", "complete"} and pieces.select("latest.*").columns == ["key"]
+    named = stream_catalog.read_named_sources(spark, root)
+    apart = stream_catalog.read_sources(spark, root).join(stream_catalog.read_files(spark, root).select("file_hash", "name"), "file_hash")
+    assert sorted(map(str, named.collect())) == sorted(map(str, apart.collect())) and named.count() == 6
+    assert named._jdf.queryExecution().analyzed().toString().count("latest#") < apart._jdf.queryExecution().analyzed().toString().count("latest#")
