@@ -23,10 +23,9 @@ not on the number of files.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from catalogspark.functions import filetype, text
-from catalogspark.functions.ordered import first_per_key
 from catalogspark.operators import grams
 from catalogspark.operators.search import RESULT_CAP
 from catalogspark.session import cut_lineage
@@ -39,6 +38,8 @@ SIZE_CLASSES = 64
 PREFIXES = ("001", "008", "04", "2")
 # Index rows that a tree may meet at first, per answer asked for.
 FIRST_ROWS = 50
+# Rows of covers, of some 100 bytes, up to which the covers go to the index rows, and not these to them.
+FEW_COVERS = 400_000
 
 
 def postfix(tree: dict) -> Column:
@@ -225,37 +226,50 @@ def batch_trees(
     lengths = key_counts(keys.join(possible.select("key").distinct(), "key", "left_semi"))
     counts = possible.join(lengths, "key").groupBy("tree").agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias("counts"))
     nothing = F.create_map().cast("map<string,bigint>")
-    chosen = trees.join(counts, "tree", "left").select("tree", costed_cover(F.col("nodes"), F.coalesce("counts", nothing)).alias("c"))
+    chosen = trees.join(counts, "tree", "left").select("tree", "nodes", costed_cover(F.col("nodes"), F.coalesce("counts", nothing)).alias("c"))
     start = F.lit(0)
     for i in range(1, len(PREFIXES) + 1):
         start = F.when(F.col("c.cost") <= FIRST_ROWS * cap * 8 ** (len(PREFIXES) - i), i).otherwise(start)
-    covers = cut_lineage(chosen.select("tree", start.alias("start"), F.explode("c.keys").alias("key")))
-    first = covers.agg(F.min("start")).head()[0]
+    # Trees get numbers here, which are far narrower than their digests; what led to the cover is not needed any more.
+    nodes = F.transform("nodes", lambda n: n.dropFields("by_word", "by_name"))
+    numbered = cut_lineage(chosen.select(
+        "tree", F.monotonically_increasing_id().alias("id"), start.alias("start"), F.col("c.keys").alias("keys"), nodes.alias("nodes")))
+    sizes = numbered.agg(F.min("start").alias("first"), F.sum(F.size("keys") * (F.col("start") + 1)).alias("rows")).head()
+    covers, trees = numbered.select("id", "start", F.explode("keys").alias("key")), numbered.select("id", "nodes")
+    few = (sizes["rows"] or 0) <= FEW_COVERS
+    first = len(PREFIXES) if sizes["first"] is None else sizes["first"]
 
     served = file_rows.select("file_hash", "name", "size")
     if withheld is not None:
         served = served.join(withheld.select("file_hash"), "file_hash", "left_anti")
     if source_rows is not None:
-        served = served.join(source_rows.select("file_hash"), "file_hash", "left_semi")
+        served = served.join(source_rows.select("file_hash").distinct(), "file_hash", "left_semi")
+    if first < len(PREFIXES):
+        served = cut_lineage(served)
     words = F.split(F.lower("name"), text.SEPARATORS)
     best = None
-    for level in range(len(PREFIXES) if first is None else first, len(PREFIXES) + 1):
+    for level in range(first, len(PREFIXES) + 1):
         reached = (lambda rows: rows) if level == len(PREFIXES) else (lambda rows: rows.filter(F.col("file_hash") < PREFIXES[level]))  # noqa: B023
         # A tree that has begun meets only the new part.
         below = F.when(F.col("start") == level, F.sequence(F.lit(0), F.lit(level))).otherwise(F.array(F.lit(level)))
         turn = covers.filter(F.col("start") <= level)
         if best is not None:
-            turn = turn.join(best.groupBy("tree").count().filter(F.col("count") >= cap), "tree", "left_anti")
-        turn = turn.select("tree", "key", F.explode(below).alias("level"))
+            turn = turn.join(best.groupBy("id").count().filter(F.col("count") >= cap), "id", "left_anti")
+            if turn.isEmpty():
+                continue
+        turn = turn.select("id", "key", F.explode(below).alias("level"))
         placed = reached(keys.select("key", "file_hash")).withColumn("level", _level(F.col("file_hash")))
-        met = turn.join(placed, ["key", "level"]).select("tree", "file_hash").distinct()
+        # Index rows stay where they are if the covers are few. A pair moves once, to its file; pairs met by several keys are told apart at the end.
+        met = placed.join(F.broadcast(turn) if few else turn, ["key", "level"]).select("id", "file_hash")
         hits = (
-            met.join(reached(served), "file_hash").join(trees, "tree")
+            met.join(reached(served), "file_hash").join(trees, "id")
             .filter(accepts(F.col("nodes"), F.lower("name"), words, F.col("size")))
-            .select("tree", "file_hash", "name", "size")
+            .select("id", "file_hash")
         )
         found = hits if best is None else hits.unionByName(best.drop("rank"))
-        best = first_per_key(found, ["tree"], ["file_hash"], cap)
+        ranked = found.withColumn("rank", F.dense_rank().over(Window.partitionBy("id").orderBy("file_hash")))
+        best = ranked.filter(F.col("rank") <= cap).distinct()
         if level < len(PREFIXES):
             best = cut_lineage(best)
-    return asked.join(best, "tree").select("query_id", "rank", "file_hash", "name", "size")
+    answers = asked.join(numbered.select("tree", "id"), "tree").join(best, "id")
+    return answers.join(served, "file_hash").select("query_id", "rank", "file_hash", "name", "size")

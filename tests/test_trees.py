@@ -95,3 +95,32 @@ def test_long_covers_are_read_by_prefix(spark, monkeypatch):
     rare = sorted(r[0] for r in rows if "word499" in r[1])
     assert sorted(by_query.values()) == sorted([every[:5], rare[:5], every[:5]])
     assert len(widths) > 1 and widths[0].filter("start < 4").count() > 0
+
+
+def test_pairs_move_once_and_sources_once(spark, catalog, monkeypatch):
+    """Pairs of tree and file carry a number, move to their file alone, and files with a source are looked up once."""
+    files, _, keys = catalog
+    sources = files.select("file_hash", F.explode(F.sequence(F.lit(1), F.lit(30))).alias("user")).filter("user < 12345")
+    made = []
+    real = trees.cut_lineage
+    monkeypatch.setattr(trees, "FIRST_ROWS", 0.001)
+    monkeypatch.setattr(trees, "cut_lineage", lambda df: made.append(df) or real(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = trees.batch_trees(files, keys, as_table(spark, [{"term": "red"}, {"meta": "gea"}]), source_rows=sources, cap=3)
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in [*made, got]]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [line for plan in plans for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert moved and not any("tree#" in line and "file_hash#" in line for line in moved)
+    assert sum("12345" in plan for plan in plans) == 1
+    assert len(got.collect()) == 6
+
+
+def test_covers_may_be_too_many_to_go_to_the_index(spark, catalog, monkeypatch):
+    files, postings, keys = catalog
+    monkeypatch.setattr(trees, "FEW_COVERS", 0)
+    got = trees.batch_trees(files, keys, as_table(spark, FIXED), cap=10_000).collect()
+    for i, tree in enumerate(FIXED):
+        want = [r.file_hash for r in search.search(files, postings, None, tree, cap=10_000).collect()]
+        assert [r.file_hash for r in sorted(got, key=lambda r: r.rank) if r.query_id == i] == want
