@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogspark.operators import index, ranges, reports, traffic
+from catalogspark.operators import enforce, index, ranges, reports, traffic
 from catalogspark.plans import bindings as b
 from catalogspark.plans.alias_queries import blocks_by_file
 from catalogspark.plans.client_queries import AS_OF_US, latest_sessions, rendezvous, software
@@ -64,16 +64,17 @@ HAVING count(*) >= 3 AND count(*) FILTER (WHERE caught_us >= {SINCE_US}) > 0""")
 
 
 def _graph(spark, sf):
-    return reports.publisher_graph(
-        b.ledger(spark, sf), b.sources(spark, sf), b.publisher_bans(spark, sf), since_us=F.lit(SINCE_US), min_flagged=3
-    )
+    """By the numbers of users and files."""
+    first = b.numbered_ledger(spark, sf)
+    bans = enforce.publisher_bans(first, window_seconds=b.COUNT_WINDOW, threshold=b.THRESHOLD)
+    return reports.publisher_graph(first, b.numbered_sources(spark, sf), bans, since_us=F.lit(SINCE_US), min_flagged=3)
 
 
 @query("h4_publisher_graph", """
 SELECT g.*, EXISTS (SELECT 1 FROM v_publisher_bans p WHERE p.user_hash = g.user_hash) AS banned,
   (SELECT count(*) FROM v_sources s WHERE s.user_hash = g.user_hash) AS published_now FROM v_graph g""")
 def h4(spark, sf):
-    return _graph(spark, sf)
+    return _graph(spark, sf).withColumn("user_hash", b.user_id("user_hash"))
 
 
 @query("h4_published_files", """
@@ -83,9 +84,8 @@ FROM (SELECT user_hash, file_hash, CAST(row_number() OVER (PARTITION BY user_has
   FROM v_sources WHERE user_hash IN (SELECT user_hash FROM v_graph)) r
 JOIN v_files f ON f.file_hash = r.file_hash JOIN v_source_counts c ON c.file_hash = r.file_hash WHERE rank <= 200""")
 def h4_published(spark, sf):
-    return reports.published_detail(
-        _graph(spark, sf), b.ledger(spark, sf), b.files(spark, sf), b.sources(spark, sf), max_files=200
-    )
+    graph = _graph(spark, sf).withColumn("user_hash", b.user_id("user_hash"))
+    return reports.published_detail(graph, b.ledger(spark, sf), b.files(spark, sf), b.sources(spark, sf), max_files=200)
 
 
 @query("h5_connected_clients", f"""

@@ -4,6 +4,8 @@ import contextlib
 import re
 
 import __spark_entry__ as contract
+from pyspark.sql import functions as F
+
 from catalogspark.operators import catalog, enforce, reports
 from catalogspark.plans import bindings as b
 from catalogspark.plans.alias_queries import alias_records, blocks_by_file
@@ -124,3 +126,19 @@ def test_logins_of_users_without_marks_are_not_put_in_line(spark):
     got = enforce.refused_logins(logins, marks, ttl_seconds=1)
     assert sorted((r.event_id, r.since_us, r.refused) for r in got.collect()) == [(1, None, False), (2, 20, True), (3, None, False), (4, None, False)]
     assert "LeftAnti" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_publisher_reports_move_and_keep_numbers(spark, sf):
+    """What only counts and matches users and files keeps neither hashes nor names of catches and sources."""
+    for name in ("h4_publisher_graph",):
+        plan = contract.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+        kept = re.findall(r"InMemoryRelation \[(.*?)\]", plan)
+        assert kept and not any("reason#" in k or "ip#" in k for k in kept)
+        hashed = [line for line in plan.splitlines() if re.search(r"Exchange hashpartitioning\(user_hash", line)]
+        assert hashed
+    number = b.user_id("user_hash").alias("user_hash"), b.file_id("file_hash").alias("file_hash")
+    narrow = b.numbered_ledger(spark, sf).select(number[0], "epoch", number[1], "caught_us")
+    wide = b.ledger(spark, sf).select(*narrow.columns)
+    assert narrow.count() == wide.count() and not narrow.exceptAll(wide).head(1)
+    pairs = b.numbered_sources(spark, sf).select(*number)
+    assert pairs.count() == b.sources(spark, sf).count() and not pairs.exceptAll(b.sources(spark, sf).select(*pairs.columns)).head(1)
