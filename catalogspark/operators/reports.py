@@ -125,11 +125,15 @@ def publisher_graph(
 
 def published_detail(
     graph: DataFrame, first_catches: DataFrame, file_rows: DataFrame, source_rows: DataFrame,
-    *, max_files: int = 200,
+    *, max_files: int = 200, file_order: Column | None = None,
 ) -> DataFrame:
-    """Up to ``max_files`` files each user of the graph offers now, flagged or not."""
-    offered = source_rows.join(graph.select("user_hash"), "user_hash", "left_semi").select("user_hash", "file_hash")
-    shown = first_per_key(offered, ["user_hash"], ["file_hash"], max_files)
+    """Up to ``max_files`` files each user of the graph offers now, flagged or not.
+
+    They come in order of their hash, or of ``file_order`` where ``file_hash`` holds numbers for the hashes. Users are hashed for
+    the join, so sources move to their user as they are, and the order is computed there.
+    """
+    offered = source_rows.join(graph.select("user_hash").hint("shuffle_hash"), "user_hash", "left_semi").select("user_hash", "file_hash")
+    shown = first_per_key(offered, ["user_hash"], [F.col("file_hash") if file_order is None else file_order], max_files)
     flagged = first_catches.select("user_hash", "file_hash").distinct().withColumn("__flagged", F.lit(True))
     per_file = source_rows.groupBy("file_hash").agg(F.count("*").alias("sources"))
     return (

@@ -84,8 +84,11 @@ FROM (SELECT user_hash, file_hash, CAST(row_number() OVER (PARTITION BY user_has
   FROM v_sources WHERE user_hash IN (SELECT user_hash FROM v_graph)) r
 JOIN v_files f ON f.file_hash = r.file_hash JOIN v_source_counts c ON c.file_hash = r.file_hash WHERE rank <= 200""")
 def h4_published(spark, sf):
-    graph = _graph(spark, sf).withColumn("user_hash", b.user_id("user_hash"))
-    return reports.published_detail(graph, b.ledger(spark, sf), b.files(spark, sf), b.sources(spark, sf), max_files=200)
+    shown = reports.published_detail(
+        _graph(spark, sf), b.numbered_ledger(spark, sf), b.numbered_files(spark, sf), b.numbered_sources(spark, sf),
+        max_files=200, file_order=F.unhex(b.file_id("file_hash")),
+    )
+    return shown.withColumns({"user_hash": b.user_id("user_hash"), "file_hash": b.file_id("file_hash")})
 
 
 @query("h5_connected_clients", f"""

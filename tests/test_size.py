@@ -130,7 +130,7 @@ def test_logins_of_users_without_marks_are_not_put_in_line(spark):
 
 def test_publisher_reports_move_and_keep_numbers(spark, sf):
     """What only counts and matches users and files keeps neither hashes nor names of catches and sources."""
-    for name in ("h4_publisher_graph",):
+    for name in ("h4_publisher_graph", "h4_published_files"):
         plan = contract.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         kept = re.findall(r"InMemoryRelation \[(.*?)\]", plan)
         assert kept and not any("reason#" in k or "ip#" in k for k in kept)
@@ -142,3 +142,12 @@ def test_publisher_reports_move_and_keep_numbers(spark, sf):
     assert narrow.count() == wide.count() and not narrow.exceptAll(wide).head(1)
     pairs = b.numbered_sources(spark, sf).select(*number)
     assert pairs.count() == b.sources(spark, sf).count() and not pairs.exceptAll(b.sources(spark, sf).select(*pairs.columns)).head(1)
+
+
+def test_published_files_come_in_the_order_given(spark):
+    graph = spark.createDataFrame([(1,)], "user_hash bigint")
+    sources = spark.createDataFrame([(f, u) for f in (1, 2, 3) for u in (1, 2)], "file_hash bigint, user_hash bigint")
+    files = spark.createDataFrame([(f, f"n{f}", f) for f in (1, 2, 3)], "file_hash bigint, name string, size bigint")
+    caught = spark.createDataFrame([(1, 3), (2, 2)], "user_hash bigint, file_hash bigint")
+    got = reports.published_detail(graph, caught, files, sources, max_files=2, file_order=-F.col("file_hash")).collect()
+    assert sorted((r["rank"], r["name"], r["sources"], r["flagged"]) for r in got) == [(1, "n3", 2, True), (2, "n2", 2, False)]
