@@ -107,20 +107,25 @@ SELECT file_hash, user_hash, name, complete, first_us, last_us FROM (
   SELECT file_hash, user_hash, min(first_us) AS first_us, max(last_us) AS last_us, arg_max(complete, (last_us, complete)) AS complete
   FROM v_live_pieces GROUP BY file_hash, user_hash) JOIN v_first_allowed USING (file_hash)""")
 def k11(spark, sf):
-    """Offers and disconnects as two streams; then the catalog's sources with their file's name."""
+    """Offers and disconnects as two streams; then the catalog's sources with their file's name.
+
+    Files go by their number and users by the bytes of their hash; hashes are made of the result.
+    """
     root = new_folder(spark, "catalog")
-    lines, policy = stream_of(spark, sf, "lineitem"), b.policy(spark, sf)
-    offers = b.offers_of(lines, spark, sf).drop("complete")
-    ended = offers.filter(F.col("seq") % 8 >= 6).select(
+    lines, policy = stream_of(spark, sf, "lineitem"), b.policy(spark, sf, True)
+    ended = b.narrow_offers_of(lines, spark, sf).filter(F.col("seq") % 8 >= 6).select(
         "user_hash", "session_id", (F.col("ts") + F.expr(f"interval {ENDS_AFTER} seconds")).alias("ts"))
     running = [
         stream_catalog.run_departures(ended, root, f"{root}/checkpoint-departures", once=True),
-        stream_catalog.run_catalog(offers, root, f"{root}/checkpoint-offers", lambda: policy, once=True),
+        stream_catalog.run_catalog(
+            lines, root, f"{root}/checkpoint-offers", lambda: policy, once=True,
+            shape=lambda batch: b.narrow_offers_of(batch, spark, sf).drop("complete")),
     ]
     for stream in running:
         stream.awaitTermination()
     return stream_catalog.read_named_sources(spark, root).select(
-        "file_hash", "user_hash", "name", "complete", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"))
+        b.file_id("file_hash").alias("file_hash"), F.lower(F.hex("user_hash")).alias("user_hash"), "name", "complete",
+        F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"))
 
 
 @query("a10_policy_refresh", """

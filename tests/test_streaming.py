@@ -166,3 +166,51 @@ def test_pieces_hold_no_key_twice_and_sources_are_read_once(spark, tmp_path):
     apart = stream_catalog.read_sources(spark, root).join(stream_catalog.read_files(spark, root).select("file_hash", "name"), "file_hash")
     assert sorted(map(str, named.collect())) == sorted(map(str, apart.collect())) and named.count() == 6
     assert named._jdf.queryExecution().analyzed().toString().count("latest#") < apart._jdf.queryExecution().analyzed().toString().count("latest#")
+
+
+def test_offers_of_a_batch_move_once(spark, tmp_path, monkeypatch):
+    """They move to their file; names with a verdict come to them there, and files and sources are grouped there."""
+    offers, root = spark.range(200).selectExpr(
+        "timestamp '2001-01-01' as ts", "id as seq", "concat('f', id % 9) as file_hash", "concat('u', id % 4) as user_hash", "'s' as session_id",
+        "1L as ip", "2 as port", "concat(if(id % 3 = 0, 'bad ', 'good '), id % 9) as name", "5L as size", "1L as client_id", "1 as client_port"
+    ), str(tmp_path / "c")
+    policy = Policy(hashes=spark.createDataFrame([("f1", "ban")], "file_hash string, list string"), terms=("bad",))
+    made, real = [], stream_catalog.screen_repeated
+    monkeypatch.setattr(stream_catalog, "screen_repeated", lambda *a, **k: made.append(real(*a, **k)) or made[-1])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        stream_catalog.write_batch(offers, 0, root, policy)
+        screened, allowed = made[0], made[0].filter("layer is null")
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (
+            screened, stream_catalog._file_pieces(allowed), stream_catalog._source_pieces(allowed))]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # By name only the names themselves move, and pieces add no move to that of the offers and of the listed hashes.
+    assert all(plan.count("Exchange hashpartitioning(name#") <= 1 for plan in plans)
+    assert [plan.count("Exchange hashpartitioning(file_hash#") for plan in plans] == [2, 2, 2]
+    blocked = {r.name for r in stream_catalog.read_blocks(spark, root).collect()}
+    assert blocked == {"bad 0", "bad 3", "bad 6", "good 1"}
+
+
+@pytest.mark.parametrize("few", [0, 400_000])
+def test_narrow_rows_may_be_shaped_in_the_batch(spark, tmp_path, monkeypatch, few):
+    """Numbers of files and bytes of users serve as well as hashes, whether names are few or many."""
+    monkeypatch.setattr(stream_catalog, "FEW_NAMES", few)
+    source, root = str(tmp_path / "in"), str(tmp_path / "c")
+    rows = [(1, 7, 1, "old ring.mp3"), (2, 7, 2, "new name.mp3"), (3, 8, 1, "bad one"), (4, 9, 1, "gone.mkv")]
+    spark.createDataFrame(rows, "seq bigint, file bigint, user bigint, name string").write.parquet(source)
+    lines = spark.readStream.schema("seq bigint, file bigint, user bigint, name string").parquet(source)
+
+    def shape(batch):
+        return batch.selectExpr(
+            "timestamp_seconds(seq) as ts", "seq", "file as file_hash", "unhex(md5(string(user))) as user_hash", "concat(user, '-s') as session_id",
+            "user as ip", "1 as port", "name", "5L as size", "1L as client_id", "1 as client_port")
+
+    policy = Policy(hashes=spark.createDataFrame([(9, "ban")], "file_hash bigint, list string"), terms=("bad",))
+    stream_catalog.run_catalog(lines, root, str(tmp_path / "cp"), lambda: policy, once=True, shape=shape).awaitTermination(100)
+    spark.createDataFrame([("2-s", 60), ("2-s", 60), (None, 70)], "session_id string, s bigint").selectExpr(
+        "unhex(md5('2')) as user_hash", "session_id", "timestamp_seconds(s) as ts").write.parquet(f"{root}/departures/batch=0")
+    got = stream_catalog.read_named_sources(spark, root).collect()
+    assert [(r.file_hash, r.ip, r.name) for r in got] == [(7, 1, "old ring.mp3")]
+    stream_catalog.compact(spark, root, 0)
+    assert [(r.file_hash, r.ip, r.name) for r in stream_catalog.read_named_sources(spark, root).collect()] == [(7, 1, "old ring.mp3")]
